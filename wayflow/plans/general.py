@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayflow.operators import delimited, nearby
+from wayflow.operators import delimited, nearby, tracks
 from wayflow.session import table
 
 
@@ -32,7 +32,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("lset").alias("src"), F.col("lid").alias("src_id"), F.regexp_replace("rset", "100", "").alias("kind"), F.col("rid").alias("ref_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p3_found": p3_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.trips_and_stops(table(spark, sf_dir, "gps_points"))
+    return found.selectExpr("taxi_id", "kind", "start_us div 1000000 as start_sec", "end_us div 1000000 as end_sec")
+
+
+def p2_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.trips_and_stops(table(spark, sf_dir, "gps_points"))
+    return found.selectExpr("taxi_id", "kind", "start_us div 1000000 as start_sec", "end_us div 1000000 as end_sec", "duration_sec", "round(metres, 1) as metres", "start_lon", "start_lat", "end_lon", "end_lat")
+
+
+QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p2_trips": p2_trips, "p3_found": p3_found}
 SQL: dict[str, str] = {}
 
 _FAR = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians({d}) - radians({b})) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin((radians({c}) - radians({a})) / 2), 2))))"
@@ -57,8 +67,8 @@ with h as (select file_name, min_by(ltrim(regexp_replace(line, '\\r$', ''), chr(
 l as (select line_id, file_name, regexp_replace(line, '\\r$', '') as line from raw_results where line_no > 1),
 j as (
   select line_id, line, regexp_matches(line, '^{_FIELD}(?:,{_FIELD})*$') as whole,
-    list_transform(regexp_extract_all(',' || line, ',{_FIELD}', 1), x -> trim(case when x like '"%' then replace(substr(x, 2, greatest(length(x) - 2, 0)), '""', '"') else x end)) as f,
-    list_transform(string_split(head, ','), x -> trim(x)) as n
+    list_transform(regexp_extract_all(',' || line, ',{_FIELD}', 1), lambda x: trim(case when x like '"%' then replace(substr(x, 2, greatest(length(x) - 2, 0)), '""', '"') else x end)) as f,
+    list_transform(string_split(head, ','), lambda x: trim(x)) as n
   from l join h using (file_name) where trim(line) <> '' and line not like '#%' and line <> head
 ), v as (
   select line_id, whole, len(f) = len(n) as even, f[list_position(n, 'dataset')] as d, f[list_position(n, 'iteration')] as i, f[list_position(n, 'total_after')] as t from j
