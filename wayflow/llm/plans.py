@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayflow.llm import encode, leaks, quantiles, topn
+from wayflow.llm import encode, leaks, quantiles, sentences, topn
 from wayflow.operators.delimited import ABLATION_COLUMNS
 from wayflow.session import table
 
@@ -57,7 +57,11 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_top": p4_top, "p5_found": p5_found, "p5_combined": p5_combined, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_top": p4_top, "p5_found": p5_found, "p5_combined": p5_combined, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 _TOP = f"""
 with g as (select *, row_number() over (partition by {", ".join(c for c, _ in ABLATION_COLUMNS)} order by fact_id) as copy from ablation_facts where hop is not null and seed is not null and total_after >= 0),
