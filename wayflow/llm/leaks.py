@@ -29,14 +29,19 @@ LEAST, RUN = 15, 6
 ITEM_CHARS = 4_000_000
 COMMAND = re.compile(r"\\[a-zA-Z@]+\*?")
 HYPHEN = re.compile(r"([^\W_]+)[{}]*[-\u2010\u2011\u00ad][ \t]*\r?\n[ \t]*%*[ \t]*[{}]*([^\W_]+)")
-NOTHING = {ord(c): None for c in "{}\u00ad"}
+TORN = re.compile(r"[-\u2010\u2011\u00ad][ \t]*\r?\n")
 WORD = re.compile(r"[^\W_]+")
 PLACED = regex.compile(r"(?P<skip>\\[a-zA-Z@]+\*?)|(?P<word>(?:[\p{L}\p{N}\p{M}]|(?<=[\p{L}\p{N}\p{M}])[{}\u00ad]+(?=[\p{L}\p{N}\p{M}]))+)")
 BROKEN = re.compile(r"[{}]*[-\u2010\u2011\u00ad][ \t]*\r?\n[ \t]*%*[ \t]*[{}]*")
 
 
 def folded(text: str) -> str:
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    """Compatibility-normalised and case-folded, without braces and soft hyphens."""
+    text = text.replace("{", "").replace("}", "")
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKC", text.replace("\u00ad", "")).casefold()
+    return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
 
 
 def words(text: str, known: set[str] = frozenset()) -> list[str]:
@@ -48,9 +53,9 @@ def words(text: str, known: set[str] = frozenset()) -> list[str]:
 
     if "\\" in text:
         text = COMMAND.sub(" ", text)
-    if "\n" in text:
+    if TORN.search(text):
         text = HYPHEN.sub(join, text)
-    return WORD.findall(folded(text.translate(NOTHING)))
+    return WORD.findall(folded(text))
 
 
 def placed(text: str, known: set[str]) -> list[tuple[str, int, int]]:
@@ -59,7 +64,7 @@ def placed(text: str, known: set[str]) -> list[tuple[str, int, int]]:
     for m in PLACED.finditer(text):
         if m["skip"]:
             continue
-        parts = WORD.findall(folded(m["word"].translate(NOTHING)))
+        parts = WORD.findall(folded(m["word"]))
         if not parts:
             continue
         if out and BROKEN.fullmatch(text, out[-1][2], m.start()):
@@ -99,13 +104,14 @@ def reach(a: list[str], b: list[str], i: int, k: int, step: int, most: int) -> l
 def aligned(item: list[str], text: list[str], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Stretches of text (first, last word) that hold the item, each from one untouched run (position in item, in text)."""
     out, seen = [], set()
+    # a stretch of n words with e edits holds at least n - 6e - 5 runs and n is at least 10e, which bounds e by the number of runs
+    most = min(len(item) // 10, (len(set(runs)) + 5) // 4)
     for i, k in runs:
         while i and k and item[i - 1] == text[k - 1]:
             i, k = i - 1, k - 1
         if (i, k) in seen:
             continue
         seen.add((i, k))
-        most = len(item) // 10
         right = reach(item, text, i, k, 1, most)
         left = reach(item, text, i - 1, k - 1, -1, most) if i and k else [(0, 0)] * (most + 1)
         hit = None
