@@ -35,11 +35,12 @@ LEXER = "|".join(
         rf"(?md:^{_LINE}[^\n]*)",
         r"\\item\b(?:[ \t]*\[[^\]\n]*\])?",
         r"\\[^\na-zA-Z]",
-        r"[^\\\n$%][^\\\n$]*",
+        r"\n[ \t\r]*\n",
+        r"[^\\\n$%][^\\\n$]*+(?:\n(?![ \t\r]*\n))?",
         r"(?s:.)",
     ]
 )
-BROKEN = rf"^(?:(?s:.*)\\begin\{{document\}}|\\(?:begin|end)\{{|\\\[(?s:.+)\\\]|\$\$|\\item\b|{_LINE})"
+BROKEN = rf"^(?:\\(?:begin|end)\{{|\\\[(?s:.+)\\\]|\$\$|\\item\b|{_LINE})"
 
 #: Abbreviations after which a sentence goes on, those that only stand before a number or name, and those that may also end a sentence (fixed values).
 ALWAYS = "Dr|Dra|Prof|Mr|Mrs|Ms|Mme|Mlle|Sr|Sra|St|cf|Cf|vs|approx|aprox|Aprox|Ca|ca|bzw|vgl|Vgl|sog|resp|i\\.e|e\\.g|p\\. ej|ej|z\\. B|z|d\\. h|d|h|u\\. a|т\\. е|т|см|См|напр|c\\.-à-d|डॉ|श्री|pp|Lt|Gen"
@@ -62,17 +63,19 @@ _IN = f"[^%s{BREAK}]*+"
 GROUPS = "|".join(
     [
         rf"\$[^${BREAK}]*+\$",
-        rf"\\\((?:[^\\{BREAK}]|\\(?!\)))*+\\\)",
-        rf"``(?:[^'{BREAK}]|'(?!'))*+''",
+        rf"\\\([^{BREAK}]*?\\\)",
+        rf"``[^{BREAK}]*?''",
         *(f"{a}{_IN % (a + b)}{b}" for a, b in ("“”", "«»", "‹›", "「」", "『』", "（）", "《》")),
         rf"„[^„“”{BREAK}]*+[“”]",
         rf"\([^(){BREAK}]*+(?:\([^(){BREAK}]*+\)[^(){BREAK}]*+){{0,3}}\)",
         rf"(?:\\[a-zA-Z]+)?\{{[^{{}}{BREAK}]*+(?:\{{[^{{}}{BREAK}]*+\}}[^{{}}{BREAK}]*+){{0,9}}\}}",
-        r"[^$\\`“«‹「『（《„({]+",
+        # what opens no group; the first class is tested for every character, so it has few members and leaves some harmless ones to the second
+        r"[^$\\`({\u00ab\u2010-\u203f\u3000-\u300f\uff00-\uff0f]++",
+        r"[\u2010-\u201b\u201d\u201f-\u2038\u203a-\u203f\u3000-\u3009\u300b\u300d\u300f\uff00-\uff07\uff09-\uff0f]++",
         r"(?s:.)",
     ]
 )
-_GROUP = r"^(?:\$.|\\\(|``|[“«‹「『（《„(]|\\[a-zA-Z]+\{|\{).{1,}"
+OPENERS = list("$\\`“«‹「『（《„({")
 _BLANK = r"[\s\u00a0\u202f\u3000]"
 _ENDS = rf"[{MARKS}](?:{_BLANK}?[“{CLOSERS}])+$"
 _OPEN = r"[“«„‘‹「『（《(¿¡`\[{]*"
@@ -80,13 +83,17 @@ _OPEN = r"[“«„‘‹「『（《(¿¡`\[{]*"
 
 def _lexed(text: Column) -> Column:
     """Running text with all else replaced."""
-    own = F.translate(text, BREAK + COMMENT + QUIET + CUT, "xxxx")
+    used = text.contains(BREAK) | text.contains(COMMENT) | text.contains(QUIET) | text.contains(CUT)
+    own = F.when(used, F.translate(text, BREAK + COMMENT + QUIET + CUT, "xxxx")).otherwise(text)
     parts = F.regexp_extract_all(own, F.lit(LEXER), F.lit(0))
 
-    def mask(s: Column) -> Column:
+    def mask(s: Column, i: Column) -> Column:
+        preamble = (i == 0) & s.contains("\\begin{document}")
+        plain = ~F.substring(s, 1, 1).isin("%", "\\", "$", " ", "\t", "\n")
         return (
-            F.when(s.rlike(r"^[ \t]*%."), F.regexp_replace(s, r"(?s).", COMMENT))
-            .when(s.rlike(BROKEN), F.regexp_replace(s, r"(?s).", BREAK))
+            F.when(plain & ~preamble, s)
+            .when(preamble | s.rlike(BROKEN) | (s.startswith("\n") & (s != "\n")), F.regexp_replace(s, r"(?s).", BREAK))
+            .when(s.rlike(r"^[ \t]*%."), F.regexp_replace(s, r"(?s).", COMMENT))
             .otherwise(s)
         )
 
@@ -111,7 +118,7 @@ def _grouped(parts: Column) -> Column:
         head = F.regexp_extract(s, rf"^((?s:.*?))([{MARKS}]+(?:{_BLANK}?[“{CLOSERS}])+)$", 1)
         tail = F.regexp_extract(s, rf"^((?s:.*?))([{MARKS}]+(?:{_BLANK}?[“{CLOSERS}])+)$", 2)
         return (
-            F.when(~s.rlike(_GROUP) | ~s.rlike(f"[{MARKS}]"), s)
+            F.when(~F.substring(s, 1, 1).isin(*OPENERS) | (F.length(s) < 2) | ~s.rlike(f"[{MARKS}]"), s)
             .when(ends, F.concat(F.translate(head, MARKS, quiet), tail))
             .otherwise(F.translate(s, MARKS, quiet))
         )
@@ -123,9 +130,9 @@ _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
 _TAIL = rf"(?:{_BLANK}?[»›]|[{CLOSERS}]|“(?=[\s{BREAK}]|$))*"
 SET = (
-    rf"((?:[。！？｡．।॥؟۔։።][{MARKS}]*+{_TAIL})(?!{_BLANK}*[,;:，、；：])"
+    rf"(?![a-zA-Z0-9 ,\n])((?:[。！？｡．।॥؟۔։።][{MARKS}]*+{_TAIL})(?!{_BLANK}*[,;:，、；：])"
     rf"|(?:[.!?…][{MARKS}]*+{_TAIL})(?=[\s{BREAK}{COMMENT}{_UNSPACED}“「『（《]|$)"
-    rf"|[{_THAI}](?=\s+[{_THAI}]))"
+    rf"|[{_THAI}](?=\s+[{_THAI}])|{BREAK}++)"
 )
 BLOCK = 256
 
@@ -147,14 +154,14 @@ def _offsets(pieces: Column) -> Column:
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_char, end_char) of every sentence unit, in code points from 0, end exclusive."""
     step = documents.where(F.length(text) > 0).select(F.col(key).alias("key"), _lexed(F.col(text)).alias("t"))
-    step = step.withColumn("t", F.regexp_replace(F.regexp_replace("t", r"\n(?=[ \t\r]*\n)", BREAK), SILENT, QUIET))
+    step = step.withColumn("t", F.regexp_replace("t", SILENT, QUIET))
     step = step.select("key", F.regexp_extract_all("t", F.lit(GROUPS), F.lit(0)).alias("parts"))
     step = step.select("key", _grouped(F.col("parts")).alias("t"))
-    step = step.select("key", F.split(F.regexp_replace(F.regexp_replace("t", SET, "$1" + CUT), f"({BREAK}+)", f"{CUT}$1{CUT}"), CUT).alias("pieces"))
+    step = step.select("key", F.split(F.regexp_replace("t", SET, "$1" + CUT), CUT).alias("pieces"))
     units = F.explode(F.arrays_zip(F.col("pieces").alias("p"), F.col("starts").alias("s")))
     step = step.withColumn("starts", _offsets(F.col("pieces"))).select("key", units.alias("u"))
     p = F.col("u.p")
-    blank = rf"[\s\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff{COMMENT}]"
+    blank = rf"[\s\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff{COMMENT}{BREAK}]"
     step = step.where(p.rlike(r"[\p{L}\p{N}$]")).select(
         "key",
         (F.col("u.s") + F.length(p) - F.length(F.regexp_replace(p, rf"^{blank}+", ""))).alias("start_char"),
