@@ -1,8 +1,7 @@
 """Sentence boundaries across languages and scripts, inside typesetting markup, in SQL expressions alone.
 
-Every step keeps the number of code points, so that positions in the worked text are positions in the original and nothing has to be put back
-but the offsets. What is not running text becomes a break placeholder, comments become a neutral one, and terminators that end nothing (in
-numbers, abbreviations, initials, formulas, quotations and brackets inside a sentence) become a third. Separators are then set behind the
+Positions survive every step, so that nothing has to be put back but the offsets. What is not running text becomes its length between two break
+placeholders, a comment as many neutral ones as it has code points, and a terminator that ends nothing (in numbers, abbreviations, initials, formulas, quotations and brackets inside a sentence) one of a third kind. Separators are then set behind the
 terminators that are left, by script, and the text is split there; running sums of the lengths of the pieces, taken in blocks so that a long
 text costs no square of its length, give the offsets.
 
@@ -92,7 +91,7 @@ def _lexed(text: Column) -> Column:
         plain = ~F.substring(s, 1, 1).isin("%", "\\", "$", " ", "\t", "\n")
         return (
             F.when(plain & ~preamble, s)
-            .when(preamble | s.rlike(BROKEN) | (s.startswith("\n") & (s != "\n")), F.regexp_replace(s, r"(?s).", BREAK))
+            .when(preamble | s.rlike(BROKEN) | (s.startswith("\n") & (s != "\n")), F.concat(F.lit(BREAK), F.length(s).cast("string"), F.lit(BREAK)))
             .when(s.rlike(r"^[ \t]*%."), F.regexp_replace(s, r"(?s).", COMMENT))
             .otherwise(s)
         )
@@ -132,23 +131,27 @@ _TAIL = rf"(?:{_BLANK}?[»›]|[{CLOSERS}]|“(?=[\s{BREAK}]|$))*"
 SET = (
     rf"(?![a-zA-Z0-9 ,\n])((?:[。！？｡．।॥؟۔։።][{MARKS}]*+{_TAIL})(?!{_BLANK}*[,;:，、；：])"
     rf"|(?:[.!?…][{MARKS}]*+{_TAIL})(?=[\s{BREAK}{COMMENT}{_UNSPACED}“「『（《]|$)"
-    rf"|[{_THAI}](?=\s+[{_THAI}])|{BREAK}++)"
+    rf"|[{_THAI}](?=\s+[{_THAI}])|{BREAK}[0-9]++{BREAK})"
 )
+BLANKS = " \t\n\x0b\f\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff" + COMMENT
 BLOCK = 256
 
 
-def _offsets(pieces: Column) -> Column:
-    """(start, length) of every piece."""
-    sizes = F.transform(pieces, F.length)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
-    empty = F.array().cast("array<int>")
+def _sizes(pieces: Column) -> Column:
+    """Code points each piece stands for."""
+    gap = lambda p: F.substring_index(F.substring_index(p, BREAK, -2), BREAK, 1).cast("int")
+    return F.transform(pieces, lambda p: F.when(p.endswith(BREAK), F.length(F.substring_index(p, BREAK, 1)) + gap(p)).otherwise(F.length(p)))
 
-    def sums(x: Column, first: Column) -> Column:
-        start = F.struct(first.alias("at"), empty.alias("all"))
-        return F.aggregate(x, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
 
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
-    return F.flatten(F.zip_with(blocks, sums(totals, F.lit(0)), sums))
+def _sum(numbers: Column, first: Column | int, n: Column | int) -> Column:
+    return F.aggregate(F.slice(numbers, first, n), F.lit(0), lambda a, x: a + x)
+
+
+def _firsts(sizes: Column) -> Column:
+    """Where each block of pieces starts."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+    totals = F.transform(blocks, lambda b: _sum(sizes, b * BLOCK + 1, BLOCK))
+    return F.transform(blocks, lambda b: _sum(totals, 1, b))
 
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,13 +161,12 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     step = step.select("key", F.regexp_extract_all("t", F.lit(GROUPS), F.lit(0)).alias("parts"))
     step = step.select("key", _grouped(F.col("parts")).alias("t"))
     step = step.select("key", F.split(F.regexp_replace("t", SET, "$1" + CUT), CUT).alias("pieces"))
-    units = F.explode(F.arrays_zip(F.col("pieces").alias("p"), F.col("starts").alias("s")))
-    step = step.withColumn("starts", _offsets(F.col("pieces"))).select("key", units.alias("u"))
-    p = F.col("u.p")
-    blank = rf"[\s\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff{COMMENT}{BREAK}]"
-    step = step.where(p.rlike(r"[\p{L}\p{N}$]")).select(
-        "key",
-        (F.col("u.s") + F.length(p) - F.length(F.regexp_replace(p, rf"^{blank}+", ""))).alias("start_char"),
-        (F.col("u.s") + F.length(F.regexp_replace(p, rf"{blank}+$", ""))).alias("end_char"),
-    )
+    step = step.select("key", "pieces", _sizes(F.col("pieces")).alias("sizes"))
+    step = step.select("key", "pieces", "sizes", _firsts(F.col("sizes")).alias("firsts"))
+    step = step.select("key", "sizes", "firsts", F.posexplode_outer("pieces").alias("i", "p"))
+    p = F.substring_index("p", BREAK, 1)
+    block = F.expr(f"i div {BLOCK}").cast("int")
+    step = step.where(p.rlike(r"[\p{L}\p{N}$]")).select("key", p.alias("p"), (F.get("firsts", block) + _sum(F.col("sizes"), block * BLOCK + 1, F.col("i") % BLOCK)).alias("at"))
+    left, right = F.ltrim("p", F.lit(BLANKS)), F.rtrim("p", F.lit(BLANKS))
+    step = step.select("key", (F.col("at") + F.length("p") - F.length(left)).alias("start_char"), (F.col("at") + F.length(right)).alias("end_char"))
     return step.withColumnRenamed("key", key)
