@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayflow.model import TrafficOptions
 from wayflow.operators.paths import INF, Network, _shared
 from wayflow.operators.reroute import ROUTE
+from wayflow.session import fresh
 
 
 def greedy_routes(trips: DataFrame, edges: DataFrame, traffic: TrafficOptions = TrafficOptions()) -> DataFrame:
@@ -195,7 +196,7 @@ def label_routes(trips: DataFrame, flows: DataFrame, edges: DataFrame, step: int
         index = HubLabels(n, weight, vertex, beta)
         return pd.DataFrame([(r.run_id, r.trip_id, r.depart, [int(n.edge_id[e]) for e in index.path(int(r.origin), int(r.destination))]) for r in own.itertuples()], columns=["run_id", "trip_id", "depart", "edges"])
 
-    return rows.groupBy("bucket").cogroup(flows.groupBy("bucket")).applyInPandas(work, ROUTE)
+    return fresh(rows).groupBy("bucket").cogroup(fresh(flows).groupBy("bucket")).applyInPandas(work, ROUTE)
 
 
 def merge_labels(out: DataFrame, into: DataFrame, pairs: DataFrame) -> DataFrame:

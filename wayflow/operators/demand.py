@@ -79,9 +79,8 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def slices(rows: DataFrame, key: str, parts: int, seed: int) -> DataFrame:
-    """Shuffled rows in disjoint sets of almost equal size, by hash ranges: ``part`` from 0."""
-    width = 2**64 // parts
-    return rows.withColumn("part", F.least(F.lit(parts - 1), F.floor((scalar.hash_order(key, seed).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))).cast("int"))
+    """Shuffled rows in disjoint sets of almost equal size, by hash: ``part`` from 0."""
+    return rows.withColumn("part", F.pmod(scalar.hash_order(key, seed), F.lit(parts)).cast("int"))
 
 
 def amplified(rows: DataFrame, key: str, rep: int, jitter: int, seed: int, extra: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wayflow.functions import scalar
 from wayflow.model import AlgorithmOptions, TrafficOptions
 from wayflow.operators import timeline
-from wayflow.session import cut
+from wayflow.session import cut, fresh
 
 KEY = ["run_id", "edge_id", "time"]
 
@@ -113,7 +113,7 @@ def impacts(nodes_: DataFrame, arcs: DataFrame, edges: DataFrame, options: Algor
         value = propagated(base, children, lam)
         return pd.DataFrame({"run_id": own.run_id, "edge_id": own.edge_id, "time": own.time, "base": base, "impact": value})
 
-    groups = rows.groupBy("run_id", "component").cogroup(inner.groupBy("run_id", "component"))
+    groups = fresh(rows).groupBy("run_id", "component").cogroup(fresh(inner).groupBy("run_id", "component"))
     return groups.applyInPandas(work, "run_id bigint, edge_id int, time bigint, base bigint, impact bigint")
 
 
@@ -258,7 +258,7 @@ def slot_impacts(slots: DataFrame, arcs: DataFrame, edges: DataFrame, options: A
                     ready.append(a)
         return pd.DataFrame({"run_id": own.run_id, "edge_id": own.edge_id, "slot": own.slot, "impact": value})
 
-    return rows.groupBy("run_id").cogroup(arcs.groupBy("run_id")).applyInPandas(work, "run_id bigint, edge_id int, slot bigint, impact bigint")
+    return fresh(rows).groupBy("run_id").cogroup(fresh(arcs).groupBy("run_id")).applyInPandas(work, "run_id bigint, edge_id int, slot bigint, impact bigint")
 
 
 def segment_windows(trajectories: DataFrame, width: int) -> DataFrame:

@@ -17,6 +17,7 @@ from wayflow.functions import scalar
 from wayflow.model import AlgorithmOptions, TrafficOptions
 from wayflow.operators import dependency
 from wayflow.operators.paths import Network, _shared
+from wayflow.session import fresh
 
 ROUTE = "run_id bigint, trip_id int, depart bigint, edges array<int>"
 
@@ -106,7 +107,7 @@ def reroute(selected: DataFrame, priced: DataFrame, arcs: DataFrame, edges: Data
                 line.renew(children, options)
         return pd.DataFrame(out, columns=["run_id", "trip_id", "depart", "edges"])
 
-    return selected.groupBy("run_id").cogroup(rows.groupBy("run_id")).applyInPandas(work, ROUTE)
+    return fresh(selected).groupBy("run_id").cogroup(fresh(rows).groupBy("run_id")).applyInPandas(work, ROUTE)
 
 
 def reroute_plain(selected: DataFrame, profile: DataFrame, edges: DataFrame, traffic: TrafficOptions = TrafficOptions()) -> DataFrame:
@@ -135,4 +136,4 @@ def reroute_slots(selected: DataFrame, slots: DataFrame, impacts: DataFrame, edg
         rows = [(key[0], r.trip_id, r.depart, [int(n.edge_id[e]) for e in n.timed(int(r.origin), int(r.destination), int(r.depart), cost)]) for r in trips.itertuples()]
         return pd.DataFrame([r for r in rows if r[3]], columns=["run_id", "trip_id", "depart", "edges"])
 
-    return selected.groupBy("run_id").cogroup(impacts.groupBy("run_id")).applyInPandas(work, ROUTE)
+    return fresh(selected).groupBy("run_id").cogroup(fresh(impacts).groupBy("run_id")).applyInPandas(work, ROUTE)

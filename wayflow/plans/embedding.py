@@ -10,7 +10,6 @@ from wayflow.session import table
 
 #: Departures of RUN_DAYS successive days are as many runs; capacities are divided by CAP so that the trips at hand meet congestion.
 RUN_DAYS, CAP = 4, 40
-RUNS = [1, 2, 4]
 
 EDGES_SQL = "edges as (select distinct edge_id, from_node as src, to_node as dst, free_flow_time as fft, cast(greatest(1, coalesce(capacity, 1)) as int) as cap from road_edges)"
 

@@ -213,7 +213,7 @@ _ANCHORS = (
     _AREA
     + """, x as (select *, min(time) over (partition by run_id, edge_id) as first, min(case when is_entry then time end) over (partition by run_id, edge_id) as entry from area),
 y as (select *, greatest(first, time - 1200) as wfrom from x),
-z as (select y.*, time - wfrom as duration, y.area - (a.area + a.flow * (wfrom - a.time)) as window_area from y asof join area a on y.run_id = a.run_id and y.edge_id = a.edge_id and y.wfrom >= a.time),
+z as (select y.*, y.time - wfrom as duration, y.area - (a.area + a.flow * (wfrom - a.time)) as window_area from y asof join area a on y.run_id = a.run_id and y.edge_id = a.edge_id and y.wfrom >= a.time),
 v as (select z.*, abs(z.flow * duration - window_area) as dev, cap from z join edges using (edge_id) where is_entry),
 anchors as (select run_id, edge_id, time, case when time = entry then 0 when duration > 0 and dev * 100 >= 20 * cap * duration then cast(dev::hugeint * 1000000 // (cap * duration) as bigint) end as score from v)"""
 )
@@ -433,7 +433,7 @@ def a_volatility(spark, sf_dir):
 
 
 @query(f"""with {em.FACTS_SQL}, m as (select dataset, count(distinct iteration) as iterations, min(total_after) as best, arg_max(total_after, (iteration, total_after)) as final, sum(method_total_sec) as sec, avg(selected_fraction) as fraction from f group by 1)
-select dataset, iterations, best, final, final - best as fluctuation, round(sec, 4) as total_sec, round(fraction, 6) as mean_fraction from m where iterations >= 2""")
+select dataset, iterations, best, final, final - best as fluctuation, round(sec, 6) as total_sec, round(fraction, 6) as mean_fraction from m where iterations >= 2""")
 def a_rolled_up(spark, sf_dir):
     return facts.rolled_up(em.facts(spark, sf_dir), ["dataset"], 2).drop("reduction_percent")
 
@@ -453,7 +453,7 @@ def a_completeness(spark, sf_dir):
     return facts.completeness(em.facts(spark, sf_dir), ["hop", "seed"], "iteration", 3)
 
 
-@query(f"with {em.FACTS_SQL} select dataset, selection_method, round(sum(reroute_sec), 4) as part, round(sum(reroute_sec) / nullif(sum(method_total_sec), 0) * 100, 4) as share from f group by 1, 2")
+@query(f"with {em.FACTS_SQL} select dataset, selection_method, round(sum(reroute_sec), 6) as part, round(sum(reroute_sec) / nullif(sum(method_total_sec), 0) * 100, 4) as share from f group by 1, 2")
 def a_share(spark, sf_dir):
     return facts.share_of_total(em.facts(spark, sf_dir), ["dataset", "selection_method"], "reroute_sec", "method_total_sec")
 
@@ -596,10 +596,18 @@ def t_simulated_by_rounds(spark, sf_dir):
     return traffic.simulate_by_rounds(cut(loops.initial_routes(edges, em.trips(spark, sf_dir))), edges)
 
 
+_GRAPHS: dict[tuple[str, str], tuple] = {}
+
+
 def _graph(spark, sf_dir):
-    edges, trips = em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir)
-    now = cut(traffic.simulate(loops.initial_routes(edges, trips), edges))
-    return edges, trips, loops.graph_of(now, edges, AlgorithmOptions(), TrafficOptions())
+    """Edges, trips and the graph of their traffic; one application builds it once per folder, on checkpoints that the queries below share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        edges, trips = em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir)
+        now = cut(traffic.simulate(loops.initial_routes(edges, trips), edges))
+        _GRAPHS.clear()
+        _GRAPHS[key] = (edges, trips, loops.graph_of(now, edges, AlgorithmOptions(), TrafficOptions()))
+    return _GRAPHS[key]
 
 
 @query()

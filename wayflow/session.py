@@ -34,3 +34,8 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint ``df`` as a broadcast only if the optimiser's size estimate, an upper bound for scans and projections, proves it small."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     return F.broadcast(df) if size <= limit else df
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for joining a table with what was derived from it."""
+    return df.toDF(*df.columns)
