@@ -30,6 +30,7 @@ def query(sql: str | None = None):
 
 
 # ---- scalar functions over graph nodes ----
+# A hundred-millionth is added before rounding where exact halves occur, so that both engines round them alike.
 
 _BPR = "case when flow <= cap then fft else least(9223372036854775807::hugeint, fft::hugeint + (fft::hugeint * 15 * flow::hugeint * flow * flow * flow + 100 * cap::hugeint * cap * cap * cap - 1) // (100 * cap::hugeint * cap * cap * cap))::bigint end"
 
@@ -41,11 +42,11 @@ def f_delay(spark, sf_dir):
     return rows.select("run_id", "edge_id", "time", delay.alias("delay"), F.least(F.lit(3600), delay).alias("capped"))
 
 
-@query(f"""with {em.NODES_SQL} select run_id, edge_id, time, round(fft + fft * 15 / 100.0 * pow(flow / cap::double, 4), 4) as soft, flow * 1000000 // greatest(1, cap) as ratio,
+@query(f"""with {em.NODES_SQL} select run_id, edge_id, time, round(fft + fft * 15 / 100.0 * pow(flow / cap::double, 4) + 1e-8, 4) as soft, flow * 1000000 // greatest(1, cap) as ratio,
 case when flow > cap then round((flow - cap) / cap::double, 6) else 0 end as excess from nodes join edges using (edge_id)""")
 def f_load(spark, sf_dir):
     rows = em.nodes(spark, sf_dir).join(em.edges(spark, sf_dir), "edge_id")
-    return rows.select("run_id", "edge_id", "time", F.round(scalar.soft_bpr("fft", "cap", "flow"), 4).alias("soft"), scalar.ratio_key("flow", "cap").alias("ratio"), F.round(scalar.excess("flow", "cap"), 6).alias("excess"))
+    return rows.select("run_id", "edge_id", "time", F.round(scalar.soft_bpr("fft", "cap", "flow") + 1e-8, 4).alias("soft"), scalar.ratio_key("flow", "cap").alias("ratio"), F.round(scalar.excess("flow", "cap"), 6).alias("excess"))
 
 
 @query(f"""with {em.NODES_SQL}, r as (select run_id, flow, row_number() over (partition by run_id order by flow) - 1 as i, count(*) over (partition by run_id) as n from nodes)
@@ -275,9 +276,9 @@ def _on(spark, sf_dir):
 _SCORE = f"with {em.NODES_SQL}{_OVER}, v as (select distinct run_id, trip_id, edge_id, enter as time from stays), sc as (select run_id, trip_id, sum(relief) as score from v join rel using (run_id, edge_id, time) where relief > 0 group by 1, 2)"
 
 
-@query(_SCORE + " select run_id, trip_id, round(score, 5) as score from sc")
+@query(_SCORE + " select run_id, trip_id, round(score + 1e-8, 5) as score from sc")
 def a_route_scores(spark, sf_dir):
-    return selection.route_scores(_on(spark, sf_dir), _relief(spark, sf_dir), "relief").select("run_id", "trip_id", F.round("score", 5).alias("score"))
+    return selection.route_scores(_on(spark, sf_dir), _relief(spark, sf_dir), "relief").select("run_id", "trip_id", F.round(F.col("score") + 1e-8, 5).alias("score"))
 
 
 @query(_SCORE + ", c as (select *, sum(score) over (partition by run_id order by score desc, trip_id rows between unbounded preceding and 1 preceding) as b, sum(score) over (partition by run_id) as t from sc) select run_id, trip_id from c where coalesce(b, 0) < t * 80 / 100")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import zipfile
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayflow.functions import scalar
 
@@ -211,11 +211,13 @@ def results(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def tolerant_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Torn rows are left out, as are rows whose dataset does not follow the scheme."""
-    rows = spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
-    return rows.where(scalar.dataset_parts("dataset").isNotNull())
-
-
-LOG_NAME = re.compile(r"(?P<method>[a-z_]+?)_(?P<size>\d+k?)(?:_|\.|$)")
+    fields = StructType.fromDDL(schema).fields
+    text = ", ".join([*(f"`{f.name}` string" for f in fields), "_torn string"])
+    rows = spark.read.csv(path, header=True, schema=text, columnNameOfCorruptRecord="_torn")
+    # every column is looked at, whichever of them are asked for later
+    sound = reduce(lambda x, y: x & y, (F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull() for f in fields), F.col("_torn").isNull())
+    typed = rows.where(sound).select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields))
+    return typed.where(scalar.dataset_parts("dataset").isNotNull())
 
 
 def log_metrics(lines: DataFrame) -> DataFrame:
