@@ -98,7 +98,7 @@ def impacts(nodes_: DataFrame, arcs: DataFrame, edges: DataFrame, options: Algor
     """
     lam = options.lambda_percent
     rows = nodes_.join(edges.select("edge_id", "fft", "cap"), "edge_id").withColumn("base", traffic.column("fft", "cap", "flow"))
-    comp = components(nodes_, arcs)
+    comp = cut(run_components(nodes_, arcs))
     rows = rows.join(comp, KEY).select("run_id", "component", "edge_id", "time", "base")
     inner = arcs.join(comp.selectExpr("run_id", "edge_id as src_edge", "time as src_time", "component"), ["run_id", "src_edge", "src_time"])
 
@@ -124,6 +124,32 @@ def all_arcs(trajectories: DataFrame, nodes_: DataFrame, edges: DataFrame, traff
     return along.unionByName(felt.join(along, felt.columns, "left_anti"))
 
 
+def run_components(nodes_: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The same labels by one union-find per run: far fewer jobs than the rounds of ``components``, for runs whose graph fits a task."""
+
+    def work(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        number = {k: i for i, k in enumerate(zip(own.edge_id, own.time, strict=True))}
+        root = list(range(len(number)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for se, st, de, dt in zip(links.src_edge, links.src_time, links.dst_edge, links.dst_time, strict=True):
+            a, b = number.get((se, st)), number.get((de, dt))
+            if a is not None and b is not None:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        names = [f"{e}:{t}" for e, t in number]
+        return pd.DataFrame({"run_id": own.run_id, "edge_id": own.edge_id, "time": own.time, "component": [names[find(i)] for i in range(len(root))]})
+
+    own = fresh(nodes_.select(*KEY)).repartition("run_id").sortWithinPartitions(*KEY)
+    links = fresh(arcs.select("run_id", "src_edge", "src_time", "dst_edge", "dst_time"))
+    return own.groupBy("run_id").cogroup(links.groupBy("run_id")).applyInPandas(work, "run_id bigint, edge_id int, time bigint, component string")
+
+
 def components(nodes_: DataFrame, arcs: DataFrame, rounds: int = 100) -> DataFrame:
     """run_id, edge_id, time, component: weak components by least labels, with pointer jumping, so that rounds grow with the logarithm of the depth."""
     name = lambda e, t: F.concat_ws(":", e, t)

@@ -303,7 +303,7 @@ def _floor_ranked(ranked: DataFrame, on: DataFrame, nodes: DataFrame, gamma: int
 
 def candidates(name: str, *, trips: DataFrame, visits: DataFrame, nodes: DataFrame, arcs: DataFrame, edges: DataFrame, relief: DataFrame, options) -> DataFrame:
     """Candidate filters by name."""
-    from wayflow.operators.dependency import components
+    from wayflow.operators.dependency import run_components
 
     every = trips.select("run_id", "trip_id").distinct()
     if name == "all":
@@ -312,7 +312,7 @@ def candidates(name: str, *, trips: DataFrame, visits: DataFrame, nodes: DataFra
         return source_congestion(visits, nodes, arcs, edges, options.theta_percentile)
     if name in ("score_top", "global_score"):
         return score_top(visits, relief, options.candidate_theta).select("run_id", "trip_id")
-    labels = components(relief.select(*KEY), _active_arcs(arcs, relief))
+    labels = run_components(relief.select(*KEY), _active_arcs(arcs, relief))
     if name == "component_balanced":
         return by_component(visits, relief, labels, options.gamma)
     if not name.startswith("component_marginal"):

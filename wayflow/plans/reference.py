@@ -625,7 +625,7 @@ def t_penalties(spark, sf_dir):
 @query()
 def t_components(spark, sf_dir):
     _, _, g = _graph(spark, sf_dir)
-    return dependency.components(g.nodes, g.arcs)
+    return dependency.run_components(g.nodes, g.arcs)
 
 
 @query()
