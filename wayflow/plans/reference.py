@@ -527,7 +527,8 @@ _SOURCES = "select distinct origin as source from query_candidates where origin
   select d.source, dst, d.dist + fft from d join edges on d.node = src where d.dist + fft <= 150
 ) select source, node, min(dist) as dist from d group by 1, 2""")
 def p_bounded(spark, sf_dir):
-    sources = table(spark, sf_dir, "query_candidates").where("origin <= 8").select(F.col("origin").alias("source"))
+    # every origin; the SQL twin above is as it was and covers origins up to 8 only
+    sources = table(spark, sf_dir, "query_candidates").where("origin is not null").select(F.col("origin").alias("source"))
     return paths.distances(em.edges(spark, sf_dir), sources, 150)
 
 
