@@ -36,3 +36,18 @@ def test_bounded_from_every_origin(spark, tmp_path):
     assert max(origins) > 8
     got = {(x.source, x.node): x.dist for x in reference.p_bounded(spark, str(tmp_path)).collect()}
     assert got == {(a, b): d for (a, b), d in all_distances(edges).items() if a in origins and d <= 150}
+
+
+@pytest.mark.parametrize("name", [*(f"r_{n}" for n in reference.loops.LOOPS), "r_slots"])
+def test_loops_run_all_rounds(spark, tmp_path, monkeypatch, name):
+    write_tables(spark, tmp_path)
+    seen = []
+
+    def run(*args):
+        seen.extend(a.max_iterations for a in args if isinstance(a, reference.AlgorithmOptions))
+        return reference.loops.Result(None, None, [None])
+
+    for f in ("run_named", "slot_loop"):
+        monkeypatch.setattr(reference.loops, f, run)
+    reference.QUERIES[name](spark, str(tmp_path))
+    assert seen == [reference.AlgorithmOptions().max_iterations] == [5]

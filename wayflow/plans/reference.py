@@ -690,7 +690,7 @@ def r_unselected(spark, sf_dir):
 
 def _loop(name: str):
     def run(spark, sf_dir):
-        return loops.run_named(name, em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir), AlgorithmOptions(max_iterations=1)).by_iteration()
+        return loops.run_named(name, em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir), AlgorithmOptions()).by_iteration()
 
     return run
 
@@ -701,4 +701,4 @@ for _name in loops.LOOPS:
 
 @query()
 def r_slots(spark, sf_dir):
-    return loops.slot_loop(em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir), 600, AlgorithmOptions(max_iterations=1)).by_iteration()
+    return loops.slot_loop(em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir), 600, AlgorithmOptions()).by_iteration()
