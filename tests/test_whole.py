@@ -4,9 +4,13 @@ import random
 
 import pytest
 
+from wayflow.operators import baselines
 from wayflow.plans import reference
 
 
+EDGES = "edge_id int, src int, dst int, fft bigint, cap int"
+
+
 def write_tables(spark, folder, seed=3, nodes=14, far=25):
     """road_edges and query_candidates of a random network; returns (edges, trips) and writes both."""
     r = random.Random(seed)
@@ -51,3 +55,15 @@ def test_loops_run_all_rounds(spark, tmp_path, monkeypatch, name):
         monkeypatch.setattr(reference.loops, f, run)
     reference.QUERIES[name](spark, str(tmp_path))
     assert seen == [reference.AlgorithmOptions().max_iterations] == [5]
+
+
+def test_priced_long_trip_keeps_lambda(spark):
+    """A chain longer than the budget, then a short way that grows dear and a way round it; lambda doubled 40 times would hide that."""
+    n = 30
+    edges = spark.createDataFrame([*((i, i, i + 1, 1, 1) for i in range(n)), (90, 100, 102, 10, 1), (91, 100, 101, 5, 1), (92, 101, 102, 6, 1)], EDGES)
+    trips = spark.createDataFrame([(0, 0, 0, n, 0), *((0, k, 100, 102, k) for k in (1, 2, 3))], "run_id bigint, trip_id int, origin int, destination int, depart bigint")
+    few = {r.trip_id: r.asDict() for r in baselines.priced_routes(trips, edges, states=20).collect()}
+    assert [few[k]["edges"] for k in range(4)] == [list(range(n)), [90], [90], [91, 92]]
+    assert [few[k]["exhausted"] for k in range(4)] == [True, False, False, False]
+    whole = {r.trip_id: r for r in baselines.priced_routes(trips, edges).collect()}
+    assert whole[0].edges == list(range(n)) and not whole[0].exhausted

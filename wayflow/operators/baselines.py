@@ -66,10 +66,11 @@ def greedy_routes(trips: DataFrame, edges: DataFrame, traffic: TrafficOptions =
     return trips.groupBy("run_id").applyInPandas(work, ROUTE)
 
 
-def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 900, detour: int = 130, states: int = 3000) -> DataFrame:
+def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 900, detour: int = 130, states: int = 20000) -> DataFrame:
     """Trips in order of departure, each by the cheapest path within ``detour`` percent of its shortest, where a cell (edge, step) grows dearer with its volume.
 
-    Branch and bound within a budget of states; lambda doubles until the path's price is within it and no cell is over its bound.
+    Branch and bound within a budget of states; lambda doubles until the path's price is within it and no cell is over its bound. Where the budget ends
+    the last search, ``exhausted`` is true: the route is the best so far, or the plain shortest one, which then pays its own price.
     """
     net = _shared(edges)
 
@@ -87,7 +88,7 @@ def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 900, detour: i
                 remaining[d] = n.tree(d, backward=True)[0]
             left = remaining[d]
             if o == d or o not in left:
-                out.append((key[0], r.trip_id, r.depart, []))
+                out.append((key[0], r.trip_id, r.depart, [], False))
                 continue
             limit = left[o] * detour // 100
             for _ in range(40):
@@ -105,12 +106,14 @@ def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 900, detour: i
                     steps = [(left[v], e, v) for v, e, _ in out_edges.get(u, ()) if v in left and v not in seen and now - start + int(n.fft[e]) + left[v] <= limit]
                     for _, e, v in sorted(steps, reverse=True):  # the most promising is looked at first
                         stack.append((cost + price(e, now), v, now + int(n.fft[e]), (*seen, v), (*path, e)))
+                exhausted = bool(stack)
                 path = list(best_path) if best_path is not None else n.shortest(o, d)
-                now, within = start, True
+                now, within, paid = start, True, 0.0
                 for e in path:
+                    paid += price(e, now)
                     within &= all((volume[e, s] + 1) / (lam * int(n.cap[e])) <= 2.7182818 for s in cells(e, now))
                     now += int(n.fft[e])
-                if best <= lam and within:
+                if paid <= lam and within:
                     break
                 lam *= 2
             now = start
@@ -118,10 +121,10 @@ def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 900, detour: i
                 for s in cells(e, now):
                     volume[e, s] += 1
                 now += int(n.fft[e])
-            out.append((key[0], r.trip_id, r.depart, [int(n.edge_id[e]) for e in path]))
-        return pd.DataFrame(out, columns=["run_id", "trip_id", "depart", "edges"])
+            out.append((key[0], r.trip_id, r.depart, [int(n.edge_id[e]) for e in path], exhausted))
+        return pd.DataFrame(out, columns=["run_id", "trip_id", "depart", "edges", "exhausted"])
 
-    return trips.groupBy("run_id").applyInPandas(work, ROUTE)
+    return trips.groupBy("run_id").applyInPandas(work, f"{ROUTE}, exhausted boolean")
 
 
 class HubLabels:

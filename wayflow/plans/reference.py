@@ -565,7 +565,7 @@ def p_greedy(spark, sf_dir):
 
 @query()
 def p_priced(spark, sf_dir):
-    return baselines.priced_routes(em.trips(spark, sf_dir), em.edges(spark, sf_dir), states=200)
+    return baselines.priced_routes(em.trips(spark, sf_dir), em.edges(spark, sf_dir))
 
 
 @query()
