@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from wayflow.operators import baselines
+from wayflow.model import TRAJECTORY
+from wayflow.operators import baselines, selection
 from wayflow.plans import reference
 
 
@@ -67,3 +68,18 @@ def test_priced_long_trip_keeps_lambda(spark):
     assert [few[k]["exhausted"] for k in range(4)] == [True, False, False, False]
     whole = {r.trip_id: r for r in baselines.priced_routes(trips, edges).collect()}
     assert whole[0].edges == list(range(n)) and not whole[0].exhausted
+
+
+def test_flow_floor_goes_on_after_refusals(spark):
+    """Trip 0 is taken; 1 to 3 hold a node alone and are refused, which ends the round before trip 4. Without trip 0 their shared edge is faster, and 4 comes first."""
+    edges = spark.createDataFrame([(0, 0, 1, 10, 1), (1, 0, 1, 100, 9), *((e, 0, 1, 10, 9) for e in (2, 3, 4)), (5, 0, 1, 200, 9)], EDGES)
+    on = {0: [0, 1], 1: [0, 2], 2: [0, 3], 3: [0, 4], 4: [5]}
+    flow = {0: 4, 1: 2, 2: 1, 3: 1, 4: 1, 5: 2}
+    visits = spark.createDataFrame([(0, t, e, 0) for t, es in on.items() for e in es], "run_id bigint, trip_id int, edge_id int, time bigint")
+    nodes = spark.createDataFrame([(0, e, 0, f, f) for e, f in flow.items()], "run_id bigint, edge_id int, time bigint, flow bigint, original_flow bigint")
+    stays = spark.createDataFrame([(0, t, 0, es[0], 0, 1, True) for t, es in on.items()], TRAJECTORY)
+    got = selection.by_flow_floor(visits, nodes, stays, edges, 50).orderBy("place").collect()
+    assert [(r.trip_id, r.place) for r in got] == [(0, 0), (4, 1)]
+    # only edge 2 is watched: 1 alone is refused, all others go
+    got = selection.by_flow_floor(visits, nodes, stays, edges, 50, nodes.where("edge_id = 2")).collect()
+    assert {r.trip_id for r in got} == {0, 2, 3, 4}

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayflow.functions import scalar
-from wayflow.operators.dependency import KEY, order_statistic
+from wayflow.model import TrafficOptions
+from wayflow.operators.dependency import KEY, order_statistic, propagated, route_arcs
+from wayflow.session import fresh
 
 PICKED = "run_id bigint, trip_id int, place int"
 
@@ -136,35 +138,65 @@ def component_marginal(visits: DataFrame, relief: DataFrame, labels: DataFrame,
     return share.groupBy("run_id").applyInPandas(work, PICKED)
 
 
-def by_flow_floor(visits: DataFrame, nodes: DataFrame, scores: DataFrame, value: str, gamma: int, watched: DataFrame | None = None) -> DataFrame:
-    """Trips by falling score, each taken if every (watched) node it visits keeps (100 - gamma) percent of its flow; a round ends after more than
-    sqrt(n) refusals in a row. One pass with the scores given; rounds with fresh scores are the loop's business."""
-    scored = route_scores(visits, scores, value, distinct=False)
-    on = visits.select("run_id", "trip_id", "edge_id", "time").distinct()
-    if watched is not None:
-        on = on.join(watched.select(*KEY), KEY, "left_semi")
-    rows = scored.join(on.join(nodes.select(*KEY, "flow", "original_flow"), KEY).groupBy("run_id", "trip_id").agg(F.collect_list(F.struct("edge_id", "time", "flow", "original_flow")).alias("nodes")), ["run_id", "trip_id"], "left")
+def by_flow_floor(visits: DataFrame, nodes: DataFrame, trajectories: DataFrame, edges: DataFrame, gamma: int, watched: DataFrame | None = None, lambda_percent: int = 45, roads: TrafficOptions = TrafficOptions()) -> DataFrame:
+    """Trips by falling sum of impacts, each taken if every (watched) node it visits keeps (100 - gamma) percent of its flow. A round ends after more than
+    sqrt(n) refusals in a row; the next ranks the trips left by the impacts of the traffic that remains, until a round takes none.
 
-    def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["score", "trip_id"], ascending=[False, True])
-        left: dict[tuple, int] = {}
-        out, refused, patience = [], 0, math.isqrt(len(own))
-        for t, at in zip(own.trip_id, own.nodes, strict=True):
-            at = [] if at is None else at
-            stay = [(x["edge_id"], x["time"]) for x in at]
-            now = [left.setdefault(k, x["flow"]) for k, x in zip(stay, at, strict=True)]
-            if all((f - 1) * 100 >= (100 - gamma) * x["original_flow"] for f, x in zip(now, at, strict=True)):
-                out.append((key[0], t, len(out)))
-                refused = 0
-                for k in stay:
-                    left[k] -= 1
-            else:
-                refused += 1
-                if refused > patience:
-                    break
+    A node without flow loses its arcs; same-edge arcs hold while the delay at the remaining flow reaches the next node. Trajectories give the route arcs.
+    """
+    mark = F.lit(True) if watched is None else F.coalesce("watched", F.lit(False))
+    marked = nodes.select(*KEY) if watched is None else nodes.select(*KEY).join(fresh(watched.select(*KEY)).withColumn("watched", F.lit(True)), KEY, "left")
+    on = visits.select("run_id", "trip_id", "edge_id", "time").join(marked, KEY)
+    rows = on.groupBy("run_id", "trip_id").agg(F.collect_list(F.struct("edge_id", "time", mark.alias("watched"))).alias("nodes"))
+    own = nodes.join(edges.select("edge_id", "fft", "cap"), "edge_id").selectExpr(*KEY, "false as arc", "cast(flow as bigint) as flow", "cast(original_flow as bigint) as original_flow", "fft", "cap", "0 as to_edge", "0L as to_time")
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("flow", "original_flow", "fft")]
+    along = route_arcs(trajectories).select("run_id", F.col("src_edge").alias("edge_id"), F.col("src_time").alias("time"), F.lit(True).alias("arc"), *zero, F.lit(0).alias("cap"), F.col("dst_edge").alias("to_edge"), F.col("dst_time").alias("to_time"))
+
+    def work(key: tuple, trips: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        at = graph[~graph.arc].sort_values(["edge_id", "time"])
+        place, time, edge = {k: i for i, k in enumerate(zip(at.edge_id, at.time, strict=True))}, at.time.tolist(), at.edge_id.tolist()
+        flow, first, fft, cap = at.flow.tolist(), at.original_flow.tolist(), at.fft.tolist(), at.cap.tolist()
+        links = graph[graph.arc]
+        ends = ((place.get((a, s)), place.get((b, t))) for a, s, b, t in zip(links.edge_id, links.time, links.to_edge, links.to_time, strict=True))
+        routes = [(a, b) for a, b in ends if a is not None and b is not None]
+        stays, floors = {}, {}
+        for t, ns in zip(trips.trip_id, trips.nodes, strict=True):
+            stays[t] = [place[x["edge_id"], x["time"]] for x in ns]
+            floors[t] = {place[x["edge_id"], x["time"]] for x in ns if x["watched"]}
+
+        def worth() -> list[int]:
+            base = [roads.delay(*x) for x in zip(fft, cap, flow, strict=True)]
+            children: list[list[int]] = [[] for _ in base]
+            for a, b in routes:
+                if flow[a] > 0 and flow[b] > 0:
+                    children[a].append(b)
+            before = None
+            for i, f in enumerate(flow):
+                if f > 0:
+                    if before is not None and edge[before] == edge[i] and time[before] + base[before] > time[i] and i not in children[before]:
+                        children[before].append(i)
+                    before = i
+            return propagated(base, children, lambda_percent)
+
+        out, left = [], set(stays)
+        while left:
+            impact, refused, patience, size = worth(), 0, math.isqrt(len(left)), len(out)
+            for _, t in sorted((-sum(impact[i] for i in stays[t]), t) for t in left):
+                if all((flow[i] - 1) * 100 >= (100 - gamma) * first[i] for i in floors[t]):
+                    out.append((key[0], t, len(out)))
+                    left.discard(t)
+                    refused = 0
+                    for i in set(stays[t]):
+                        flow[i] = max(0, flow[i] - 1)
+                else:
+                    refused += 1
+                    if refused > patience:
+                        break
+            if len(out) == size:
+                break
         return pd.DataFrame(out, columns=["run_id", "trip_id", "place"])
 
-    return rows.groupBy("run_id").applyInPandas(work, PICKED)
+    return fresh(rows).groupBy("run_id").cogroup(fresh(own.unionByName(along)).groupBy("run_id")).applyInPandas(work, PICKED)
 
 
 def by_excess_relief(visits: DataFrame, nodes: DataFrame, impacts_norm: DataFrame, relief: DataFrame, edges: DataFrame, gamma: int) -> DataFrame:

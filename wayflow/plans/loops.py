@@ -60,13 +60,13 @@ def graph_of(trajectories: DataFrame, edges: DataFrame, options: AlgorithmOption
     return Graph(trajectories, profile, nodes, arcs, cut(dependency.visits(trajectories, nodes)), anchors, impacts, normal, relief)
 
 
-def select(name: str, g: Graph, trips: DataFrame, edges: DataFrame, options: AlgorithmOptions, pool: DataFrame) -> DataFrame:
+def select(name: str, g: Graph, trips: DataFrame, edges: DataFrame, options: AlgorithmOptions, pool: DataFrame, roads: TrafficOptions = TrafficOptions()) -> DataFrame:
     """Selection methods by name, from the trips of ``pool``."""
     visits = g.visits.join(pool, ["run_id", "trip_id"], "left_semi")
     if name == "tdg":
-        return selection.by_flow_floor(visits, g.nodes, g.impacts, "impact", options.gamma)
+        return selection.by_flow_floor(visits, g.nodes, g.trajectories, edges, options.gamma, None, options.lambda_percent, roads)
     if name == "tdg_anchor":
-        return selection.by_flow_floor(visits, g.nodes, g.impacts, "impact", options.gamma, dependency.important(g.nodes, g.anchors))
+        return selection.by_flow_floor(visits, g.nodes, g.trajectories, edges, options.gamma, dependency.important(g.nodes, g.anchors), options.lambda_percent, roads)
     if name == "tdg_excess_relief":
         return selection.by_excess_relief(visits, g.nodes, g.normal, g.relief, edges, options.gamma)
     if name == "tdg_bpr_relief":
@@ -93,7 +93,7 @@ def run(edges: DataFrame, trips: DataFrame, options: AlgorithmOptions = Algorith
     for k in range(options.max_iterations):
         g = graph_of(now, edges, options, roads)
         pool = selection.candidates(candidates, trips=trips, visits=g.visits, nodes=g.nodes, arcs=g.arcs, edges=edges, relief=g.relief, options=options)
-        chosen = cut(select(selector, g, trips, edges, options, cut(pool)))
+        chosen = cut(select(selector, g, trips, edges, options, cut(pool), roads))
         if stop_early and chosen.isEmpty():
             result.totals.append(_total(now, k + 1))
             break
