@@ -83,3 +83,14 @@ def test_flow_floor_goes_on_after_refusals(spark):
     # only edge 2 is watched: 1 alone is refused, all others go
     got = selection.by_flow_floor(visits, nodes, stays, edges, 50, nodes.where("edge_id = 2")).collect()
     assert {r.trip_id for r in got} == {0, 2, 3, 4}
+
+
+def test_every_destination(spark, tmp_path):
+    edges, trips = write_tables(spark, tmp_path, nodes=24, far=100)
+    ends = {d for _, _, d, _ in trips}
+    assert len(ends) > 20
+    dist = all_distances(edges, 24)
+    got = lambda q: {(x.source, x.node): x.dist for x in q(spark, str(tmp_path)).collect()}
+    assert got(reference.p_reverse) == {(b, a): d for (a, b), d in dist.items() if b in ends}
+    assert got(reference.p_range) == {(a, b): d for (a, b), d in dist.items() if a in ends and 300 <= d <= 600}
+    assert got(reference.p_relaxed) == {(a, b): d for (a, b), d in dist.items() if a in ends}

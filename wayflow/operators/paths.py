@@ -175,7 +175,9 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: int = INF, backward:
                 done, _ = net.value.tree(int(s), None, cutoff, backward)
                 yield pd.DataFrame({"source": s, "node": list(done), "dist": list(done.values())})
 
-    return sources.select("source").distinct().repartition("source").mapInPandas(run, "source int, node int, dist bigint")
+    # a given number of parts, since a few small rows would be put into one task
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.sparkSession.sparkContext.defaultParallelism)
+    return sources.select("source").distinct().repartition(parts, "source").mapInPandas(run, "source int, node int, dist bigint")
 
 
 def nodes_in_range(edges: DataFrame, sources: DataFrame, low: int, high: int) -> DataFrame:

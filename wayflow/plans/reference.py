@@ -532,19 +532,23 @@ def p_bounded(spark, sf_dir):
     return paths.distances(em.edges(spark, sf_dir), sources, 150)
 
 
+def _destinations(spark, sf_dir):
+    return table(spark, sf_dir, "query_candidates").where("destination is not null").select(F.col("destination").alias("source")).distinct()
+
+
 @query()
 def p_reverse(spark, sf_dir):
-    return paths.distances(em.edges(spark, sf_dir), demand.popular(table(spark, sf_dir, "query_candidates"), 20).select(F.col("destination").alias("source")), backward=True)
+    return paths.distances(em.edges(spark, sf_dir), _destinations(spark, sf_dir), backward=True)
 
 
 @query()
 def p_relaxed(spark, sf_dir):
-    return paths.relaxed_distances(em.edges(spark, sf_dir), demand.popular(table(spark, sf_dir, "query_candidates"), 5).select(F.col("destination").alias("source")))
+    return paths.relaxed_distances(em.edges(spark, sf_dir), _destinations(spark, sf_dir))
 
 
 @query()
 def p_range(spark, sf_dir):
-    return paths.nodes_in_range(em.edges(spark, sf_dir), demand.popular(table(spark, sf_dir, "query_candidates"), 20).select(F.col("destination").alias("source")), 300, 600)
+    return paths.nodes_in_range(em.edges(spark, sf_dir), _destinations(spark, sf_dir), 300, 600)
 
 
 @query()
