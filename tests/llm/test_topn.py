@@ -38,3 +38,9 @@ def test_against_brute(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert topn.top_n(df, ["hop"], "total", "id", 5, ["note"]).count() == 0
+
+
+def test_nulls_in_different_columns_are_no_copies(spark):
+    df = spark.createDataFrame([(1, 7, 1, 5, None), (1, 7, 2, None, 5), (1, 7, 3, 5, None)], "k int, score int, id int, a int, b int")
+    got = topn.top_n(df, ["k"], "score", "id", 5, ["k", "score", "a", "b"]).collect()
+    assert [(r.id, r.rank) for r in sorted(got)] == [(1, 1), (2, 2)]

@@ -46,7 +46,9 @@ def top_n(rows: DataFrame, keys: list[str], score: str, item: str, n: int, copie
     names = [f"k{i}" for i in range(len(keys))]
     digest = ["d0", "d1"] if copies else []
     rows = rows.dropna(subset=[*keys, score, item])
-    extra = [F.xxhash64(*(F.col(f"`{c}`") for c in copies)).alias("d0"), F.xxhash64(F.lit("copy"), *(F.col(f"`{c}`") for c in reversed(copies))).alias("d1")] if copies else []
+    # a null leaves the hash as it was, so each column goes with a flag
+    flagged = lambda names: [x for c in names for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    extra = [F.xxhash64(*flagged(copies)).alias("d0"), F.xxhash64(F.lit("copy"), *flagged(reversed(copies))).alias("d1")] if copies else []
     slim = rows.select(*(F.col(k).alias(a) for k, a in zip(keys, names, strict=True)), F.col(score).alias("score"), F.col(item).alias("item"), *extra)
     heaps = slim.mapInPandas(_heaps(names, digest, n), slim.schema).repartition(*names)
     if digest:
