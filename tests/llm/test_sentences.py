@@ -22,6 +22,13 @@ CASES = [
     ("% note. one\n\\documentclass{a}\n\\def\\x{1. B}\n\\begin{document}\n\\title{T. U}\n\\section{H. I}\\label{s}\nFirst line\nends here.\n% between. it\nSecond\n% inside\nends. \n\nNo end\n\n\\begin{itemize}\n\\item Alpha beta\n\\item Gamma.\n\\end{itemize}\n\\begin{equation}\n x = 1 .\n\\end{equation}\n\\input{a.b}\nLast.\n\\end{document}\nafter. all", ["First line\nends here.", "Second\n% inside\nends.", "No end", "Alpha beta", "Gamma.", "Last."]),
     ("A.\r\n\r\nB b\r\n\r\n\\begin{verbatim}\r\nx. y", ["A.", "B b"]),
     ("\U0001f52c Odd  one. \U0001d53c two.", ["\U0001f52c Odd  one.", "\U0001d53c two."]),
+    ("We met (one (a) two (b) three (c) four (d) five. Six) and left. Ok.", ["We met (one (a) two (b) three (c) four (d) five. Six) and left.", "Ok."]),
+    ("We met (one. Two (a (b) c) f) and left. Ok.", ["We met (one. Two (a (b) c) f) and left.", "Ok."]),
+    ("It holds\\footnote{" + " ".join(f"\\emph{{x{i}}}." for i in range(12)) + " Still inside.} which goes on. Ok.", ["It holds\\footnote{" + " ".join(f"\\emph{{x{i}}}." for i in range(12)) + " Still inside.} which goes on.", "Ok."]),
+    ("He asked “Is it?” Yes. It is.", ["He asked “Is it?”", "Yes.", "It is."]),
+    ("He asked “Is it?”" + " " * 45 + "Yes. It is.", ["He asked “Is it?”", "Yes.", "It is."]),
+    ("Go " + "(" * 100 + "a. B" + ")" * 100 + " on. " + "(" * 3000 + "x. y", ["Go " + "(" * 100 + "a. B" + ")" * 100 + " on.", "(" * 3000 + "x.", "y"]),
+    ("Rev. Smith and Col. Mustard met Sgt. Pepper. Ok.", ["Rev. Smith and Col. Mustard met Sgt. Pepper.", "Ok."]),
     ("", []),
     (None, []),
     ("...", []),
@@ -50,3 +57,16 @@ def test_long_text_and_repeats(spark):
     assert len(got) == 10000
     assert all(text[r.start_char : r.end_char] == "This is one of many." for r in got)
     assert sentences.sentences(rows.limit(0)).count() == 0
+
+
+def test_deep_and_wide_brackets(spark):
+    wide = "It (" + "(a. b) " * 20000 + ") goes on. Next."
+    deep = "It " + "(" * 255 + "a. b" + ")" * 255 + " goes on. Next."
+    rows = spark.createDataFrame([(1, wide), (2, deep)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in sentences.sentences(rows).collect()) == [(i, a, b) for i, t in ((1, wide), (2, deep)) for a, b in ((0, len(t) - 6), (len(t) - 5, len(t)))]
+
+
+def test_abbreviations_are_a_parameter(spark):
+    rows = spark.createDataFrame([(1, "See Xyz. Abc there.")], "doc_id bigint, text string")
+    assert sentences.sentences(rows).count() == 2
+    assert sentences.sentences(rows, abbreviations={"always": "Xyz"}).count() == 1

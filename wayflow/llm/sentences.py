@@ -6,7 +6,8 @@ terminators that are left, by script, and the text is split there; running sums
 text costs no square of its length, give the offsets.
 
 Defined results: null and empty texts, and texts without running text, give no units; a unit has a letter, a digit or a formula; an unclosed
-environment reaches to the end of the text; equal rows each give their units.
+environment reaches to the end of the text; equal rows each give their units. Brackets and braces may hold any number of pairs and nest up to 255 deep,
+the most that the typesetter itself takes.
 """
 
 from __future__ import annotations
@@ -41,22 +42,43 @@ LEXER = "|".join(
 )
 BROKEN = rf"^(?:\\(?:begin|end)\{{|\\\[(?s:.+)\\\]|\$\$|\\item\b|{_LINE})"
 
-#: Abbreviations after which a sentence goes on, those that only stand before a number or name, and those that may also end a sentence (fixed values).
+#: Abbreviations after which a sentence goes on, titles and ranks that stand before a name, those that only stand before a number, and those that may also
+#: end a sentence; defaults of a parameter.
 ALWAYS = "Dr|Dra|Prof|Mr|Mrs|Ms|Mme|Mlle|Sr|Sra|St|cf|Cf|vs|approx|aprox|Aprox|Ca|ca|bzw|vgl|Vgl|sog|resp|i\\.e|e\\.g|p\\. ej|ej|z\\. B|z|d\\. h|d|h|u\\. a|т\\. е|т|см|См|напр|c\\.-à-d|डॉ|श्री|pp|Lt|Gen"
+TITLES = "Rev|Col|Sgt|Capt|Cpl|Maj|Cmdr|Adm|Gov|Sen|Pres|Hon|Messrs|Mt|Ft|Ing|Dipl|Hr|Hrn|Mag|Mgr|Lic|Arq|акад|проф|тов|им"
 NUMBERED = "No|no|Nos|Nr|nr|Vol|vol|Fig|Figs|fig|figs|Eq|Eqs|eq|eqs|Éq|éq|Sec|Secs|sec|App|Abb|Tab|Kap|Bd|S|p|Ch|ch|Thm|Lem|рис|Рис|табл|гл|стр|núm|art|Art|cap"
 ENDING = "etc|usw|ff|др|г|гг|д|п|al|a\\.m|p\\.m|Inc|Ltd|Jr|ebd"
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 _W = r"(?<![\p{L}\p{N}\p{M}])"
-SILENT = (
-    r"\.(?:(?<=\d\.)(?=\d)"
-    rf"|(?<={_W}(?:{ALWAYS})\.)"
-    rf"|(?<={_W}p\.)(?=\s*ej\.)"
-    rf"|(?<={_W}(?:{NUMBERED})\.)(?=[\s~]*[\d(\$\\])"
-    rf"|(?<={_W}(?:{ENDING})\.)(?=\s*[^\s\p{{Lu}}“«„‘(\\$])"
-    rf"|(?<=\p{{Lu}}\.\p{{Lu}}\.)(?=\s*\S)"
-    rf"|(?<=(?<![\p{{L}}\p{{N}}\p{{M}}°])(?<!\d[~ ])\p{{Lu}}\.)(?=[\s~]+\p{{Lu}})"
-    rf"|(?<={_W}\d{{1,2}}\.)(?=\s+(?:{MONTHS})\b))"
-)
+ABBREVIATIONS = {"always": ALWAYS, "titles": TITLES, "numbered": NUMBERED, "ending": ENDING, "months": MONTHS}
+
+
+def _silent(known: dict[str, str]) -> str:
+    """Full stops that end nothing."""
+    return (
+        r"\.(?:(?<=\d\.)(?=\d)"
+        rf"|(?<={_W}(?:{known['always']})\.)"
+        rf"|(?<={_W}p\.)(?=\s*ej\.)"
+        rf"|(?<={_W}(?:{known['titles']})\.)(?=[\s~]+\p{{Lu}})"
+        rf"|(?<={_W}(?:{known['numbered']})\.)(?=[\s~]*[\d(\$\\])"
+        rf"|(?<={_W}(?:{known['ending']})\.)(?=\s*[^\s\p{{Lu}}“«„‘(\\$])"
+        rf"|(?<=\p{{Lu}}\.\p{{Lu}}\.)(?=\s*\S)"
+        rf"|(?<=(?<![\p{{L}}\p{{N}}\p{{M}}°])(?<!\d[~ ])\p{{Lu}}\.)(?=[\s~]+\p{{Lu}})"
+        rf"|(?<={_W}\d{{1,2}}\.)(?=\s+(?:{known['months']})\b))"
+    )
+
+
+DEEPEST = 255
+
+
+def _nested(opening: str, closing: str) -> str:
+    """A bracket with whatever balanced pairs it holds. Possessive throughout, so that no length costs more than one reading or any of the stack."""
+    own = rf"[^{opening}{closing}{BREAK}]*+"
+    out = rf"{opening}{own}{closing}"
+    for _ in range(DEEPEST - 1):
+        out = rf"{opening}{own}(?:{out}{own})*+{closing}"
+    return out
+
 
 _IN = f"[^%s{BREAK}]*+"
 GROUPS = "|".join(
@@ -66,9 +88,9 @@ GROUPS = "|".join(
         rf"``[^{BREAK}]*?''",
         *(f"{a}{_IN % (a + b)}{b}" for a, b in ("“”", "«»", "‹›", "「」", "『』", "（）", "《》")),
         rf"„[^„“”{BREAK}]*+[“”]",
-        rf"\([^(){BREAK}]*+(?:\([^(){BREAK}]*+\)[^(){BREAK}]*+){{0,3}}\)",
-        rf"(?:\\[a-zA-Z]+)?\{{[^{{}}{BREAK}]*+(?:\{{[^{{}}{BREAK}]*+\}}[^{{}}{BREAK}]*+){{0,9}}\}}",
-        # what opens no group; the first class is tested for every character, so it has few members and leaves some harmless ones to the second
+        _nested(r"\(", r"\)"),
+        r"(?:\\[a-zA-Z]+)?" + _nested(r"\{", r"\}"),
+        # what opens no group; the first class, which holds all blanks, is tested for every character, so it has few members and leaves some harmless ones to the second
         r"[^$\\`({\u00ab\u2010-\u203f\u3000-\u300f\uff00-\uff0f]++",
         r"[\u2010-\u201b\u201d\u201f-\u2038\u203a-\u203f\u3000-\u3009\u300b\u300d\u300f\uff00-\uff07\uff09-\uff0f]++",
         r"(?s:.)",
@@ -106,13 +128,15 @@ def _grouped(parts: Column) -> Column:
     def mask(s: Column, i: Column) -> Column:
         after = F.coalesce(F.get(parts, i + 1), F.lit(""))
         two = F.coalesce(F.get(parts, i + 2), F.lit(""))
-        ahead = F.concat(F.substring(after, 1, 40), F.substring(two, 1, 8))
+        three = F.coalesce(F.get(parts, i + 3), F.lit(""))
+        ahead = F.concat(after, two, three)  # a run of blanks is one part, so what follows it is in sight
         last = F.coalesce(F.get(parts, i - 1), F.lit(BREAK))
         behind = F.when(last.rlike(rf"^{_BLANK}*$"), F.concat(F.coalesce(F.get(parts, i - 2), F.lit(BREAK)), last)).otherwise(last)
         starts = behind.rlike(rf"(?:^|[{BREAK}{COMMENT}{MARKS}][{CLOSERS}]*){_BLANK}*$")
         ends = s.rlike(_ENDS) & ~s.rlike(r"^(?:\$|\\\()") & (
             ahead.rlike(rf"^{_BLANK}+{_OPEN}\p{{Lu}}")
-            | (starts & ~ahead.rlike(rf"^{_BLANK}*(?:[,;:，、；：—–-]|\p{{Ll}}|[{MARKS}])"))
+            # a question or exclamation may be followed by who said it, a full stop is not
+            | (starts & ~ahead.rlike(rf"^{_BLANK}*(?:[,;:，、；：—–-]|[{MARKS}])") & (~ahead.rlike(rf"^{_BLANK}*\p{{Ll}}") | s.rlike(rf"[.。．।۔።]{_BLANK}?[“{CLOSERS}]+$")))
         )
         head = F.regexp_extract(s, rf"^((?s:.*?))([{MARKS}]+(?:{_BLANK}?[“{CLOSERS}])+)$", 1)
         tail = F.regexp_extract(s, rf"^((?s:.*?))([{MARKS}]+(?:{_BLANK}?[“{CLOSERS}])+)$", 2)
@@ -154,10 +178,13 @@ def _firsts(sizes: Column) -> Column:
     return F.transform(blocks, lambda b: _sum(totals, 1, b))
 
 
-def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start_char, end_char) of every sentence unit, in code points from 0, end exclusive."""
+def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", abbreviations: dict[str, str] | None = None) -> DataFrame:
+    """(key, start_char, end_char) of every sentence unit, in code points from 0, end exclusive.
+
+    abbreviations: alternatives, as patterns, in place of those of ABBREVIATIONS under the same name.
+    """
     step = documents.where(F.length(text) > 0).select(F.col(key).alias("key"), _lexed(F.col(text)).alias("t"))
-    step = step.withColumn("t", F.regexp_replace("t", SILENT, QUIET))
+    step = step.withColumn("t", F.regexp_replace("t", _silent(ABBREVIATIONS | (abbreviations or {})), QUIET))
     step = step.select("key", F.regexp_extract_all("t", F.lit(GROUPS), F.lit(0)).alias("parts"))
     step = step.select("key", _grouped(F.col("parts")).alias("t"))
     step = step.select("key", F.split(F.regexp_replace("t", SET, "$1" + CUT), CUT).alias("pieces"))
