@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayflow.llm import encode, leaks, quantiles, sentences, topn
 from wayflow.operators.delimited import ABLATION_COLUMNS
-from wayflow.session import table
+from wayflow.session import cut, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each id once; on a checkpoint, since the rows are read again for what a digest leaves open."""
     nodes = table(spark, sf_dir, "tdg_nodes").where("edge_id is not null and flow >= 0").select("id", "edge_id", "flow", "time_sec")
-    return nodes.dropDuplicates(["id"])
+    return cut(nodes.dropDuplicates(["id"]).select("edge_id", "flow", "time_sec"))
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,11 @@ c as (select edge_id, min(capacity) as capacity from road_edges where capacity >
 SQL = {
     "p4_found": _TOP + "select hop, seed, fact_id from r where place <= 5",
     "p4_top": _TOP + "select hop, seed, total_after, fact_id, place from r where place <= 5",
+    # exact while no edge has more than K flows, as at the scale at which the two are compared; beyond it the digests fold
+    "p5_combined": _FLOWS + """, v as (select edge_id, pct, n, flow as v, greatest(0, length(bin(flow)) - 12) as s from r, (values (50), (90), (95), (99)) v(pct) where i = pct * (n - 1) // 100),
+b as (select *, (v >> s) << s as lo, ((v >> s) << s) + (1 << s) - 1 as hi from v)
+select cast(edge_id as bigint) as edge_id, n, """
+    + ", ".join(f"cast(max(case when pct = {p} then {b} end) as bigint) as {b}{p}" for b in ("lo", "hi") for p in (50, 90, 95, 99))
+    + ", max(c.capacity) as capacity from b left join c using (edge_id) group by edge_id, n",
     "p5_found": _FLOWS + "select edge_id, pct from r join c using (edge_id), (values (50), (90)) v(pct) where i = pct * (n - 1) // 100 and flow > capacity",
 }

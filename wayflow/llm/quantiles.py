@@ -1,14 +1,16 @@
 """Percentiles of very large numeric columns by q-digests.
 
-Values are quantised to a bounded ordered universe of 2^16 leaves: whole numbers below 4096 exactly, larger ones to 11 leading bits. A
-digest holds counts of nodes of the dyadic tree over the universe (leaf v is node 2^16 + v, the parent of node i is i div 2). A node whose
-count, with its sibling's and parent's, is at most n div K is folded into the parent. Digests merge by adding the counts of equal nodes. Every
-node on a path but the last holds at most n / K, so that no rank is off by more than 16 n / K, whatever the order or the number of parts.
+Values are quantised to a bounded ordered universe of 2^23 leaves: sign, exponent and 11 further bits of the value as a double, so that every number of 64 bits,
+whole or not, negative or not, has a leaf, and whole numbers below 4096 have one of their own. A digest holds counts of nodes of the dyadic tree over the
+universe (leaf v is node 2^23 + v, the parent of node i is i div 2). A node whose count, with its sibling's and parent's, is at most n div K is folded
+into the parent. Digests merge by adding the counts of equal nodes. Every node on a path but the last holds at most n / K, so that no rank is off by more
+than 23 n / K, whatever the order or the number of parts.
 
 Each task digests its own rows; the nodes are added up with map-side combination under (group, node), which no hot group can skew; what
-is then brought together for one group is at most the 2^17 nodes of the tree.
+is then brought together for one group is at most the 2^24 nodes of the tree, and by the folding some thousands for each task that met the group.
 
-Defined results: a null group or a null or negative value takes no part; a group without values gives no row; one value is every percentile.
+Defined results: a null group takes no part, nor does a value that is null or not a number; infinities are the outermost values; a group without values
+gives no row; one value is every percentile. Bounds of whole columns are whole; decimals are taken as doubles.
 """
 
 from __future__ import annotations
@@ -20,27 +22,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH, EXACT_BITS = 16, 12
+from wayflow.session import cut
+
+DEPTH, MANTISSA = 23, 11
+DROP, ZERO = 52 - MANTISSA, 1 << (DEPTH - 1)
 K = 4096
 #: (group, node) counts a task holds before it hands its digests on.
 HELD = 500_000
 
 
 def quantised(v: np.ndarray) -> np.ndarray:
-    """Leaf of each whole number >= 0."""
-    v = v.astype(np.int64)
-    shift = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - EXACT_BITS, 0)
-    half = 1 << (EXACT_BITS - 1)
-    return np.where(shift > 0, 2 * half + (shift - 1) * half + ((v >> shift) - half), v)
-
-
-def leaf_range(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest value of each leaf."""
-    half = 1 << (EXACT_BITS - 1)
-    over = np.maximum(leaf - 2 * half, 0)
-    shift = np.where(leaf < 2 * half, 0, over // half + 1)
-    lo = np.where(leaf < 2 * half, leaf, (over % half + half) << shift)
-    return lo, lo + (1 << shift) - 1
+    """Leaf of each number. Whole ones are cut to their leading bits before they become doubles, so that none is rounded up."""
+    if v.dtype.kind in "iu":
+        whole = v.astype(np.int64)
+        size = np.where(whole < 0, -(whole + 1), whole)  # -1 - v mirrors the order and has room for the least of all
+        bits = np.frexp(size.astype(np.float64))[1].astype(np.int64)
+        bits -= (bits > 0) & (size >> np.maximum(bits - 1, 0) == 0)  # rounded up to the next power
+        shift = np.maximum(bits - MANTISSA - 1, 0)
+        top = ((size >> shift) << shift).astype(np.float64).view(np.int64) >> DROP
+        return np.where(whole < 0, ZERO - 1 - top, ZERO + top)
+    top = (np.abs(v.astype(np.float64)).view(np.int64)) >> DROP
+    return np.where(v < 0, ZERO - 1 - top, ZERO + top)
+
+
+def leaf_range(first: np.ndarray, last: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest value of the leaves first..last."""
+    at = lambda i: np.minimum(i << DROP, np.float64(np.inf).view(np.int64)).view(np.float64)
+    below = lambda i: np.minimum(((i + 1) << DROP) - 1, np.float64(np.inf).view(np.int64)).view(np.float64)
+    if not whole:
+        return np.where(first < ZERO, -below(np.maximum(ZERO - 1 - first, 0)), at(np.maximum(first - ZERO, 0))), np.where(last < ZERO, -at(np.maximum(ZERO - 1 - last, 0)), below(np.maximum(last - ZERO, 0)))
+
+    def least(i: np.ndarray) -> np.ndarray:
+        """The least whole number at or above the leaf's start, for sizes; 2^63 - 1 where it would be larger."""
+        x = np.ceil(at(i))
+        return np.where(x < 2.0**63, np.minimum(x, 2.0**62 * 1.9999), 0.0).astype(np.int64) + np.where(x < 2.0**63, 0, np.int64(2**63 - 1))
+
+    def most(i: np.ndarray) -> np.ndarray:
+        x = np.ceil(at(i + 1))
+        return np.where(x < 2.0**63, np.minimum(x, 2.0**62 * 1.9999), 0.0).astype(np.int64) + np.where(x < 2.0**63, 0, np.int64(2**63 - 1)) - (x < 2.0**63)
+
+    low = np.where(first < ZERO, -1 - most(np.maximum(ZERO - 1 - first, 0)), least(np.maximum(first - ZERO, 0)))
+    high = np.where(last < ZERO, -1 - least(np.maximum(ZERO - 1 - last, 0)), most(np.maximum(last - ZERO, 0)))
+    return low, high
 
 
 def _added(group: np.ndarray, node: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,8 +90,8 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int = K)
         both = np.concatenate([g, group[above]]), np.concatenate([i >> 1, node[above]]), np.concatenate([c, count[above]])
         sg, si, sc = _added(*both)
         light = sc <= limit[sg]
-        key = sg << 20 | si
-        up = light[np.searchsorted(key, g << 20 | i >> 1)]
+        key = sg << (DEPTH + 1) | si
+        up = light[np.searchsorted(key, g << (DEPTH + 1) | i >> 1)]
         done.append((g[~up], i[~up], c[~up]))
         rest = ~here
         group, node, count = _added(np.concatenate([group[rest], g[up]]), np.concatenate([node[rest], i[up] >> 1]), np.concatenate([count[rest], c[up]]))
@@ -100,9 +123,17 @@ def _digests(k: int):
     return run
 
 
+def whole(rows: DataFrame, value: str) -> bool:
+    return rows.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def digest(rows: DataFrame, group: str, value: str) -> DataFrame:
     """grp, node, n: the digest of every group. Digests of parts merge by ``merge(a.unionAll(b))``."""
-    rows = rows.where(F.col(group).isNotNull() & (F.col(value) >= 0)).select(F.col(group).cast("bigint").alias("grp"), F.col(value).cast("bigint").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    kind = "bigint" if whole(rows, value) else "double"
+    v = F.col(value).cast(kind)
+    rows = rows.select(F.col(group).cast("bigint").alias("grp"), v.alias("value"), F.lit(1).cast("bigint").alias("n")).dropna(subset=["grp", "value"])
+    if kind == "double":
+        rows = rows.where(~F.isnan("value"))
     return merge(rows.mapInPandas(_digests(K), "grp bigint, node bigint, n bigint"))
 
 
@@ -111,13 +142,12 @@ def merge(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("grp", "node").agg(F.sum("n").alias("n"))
 
 
-def _bounds(percents: list[int]):
+def _bounds(percents: list[int], whole_: bool):
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         g = pd.factorize(rows.grp)
         code, node, count = compress(g[0].astype(np.int64), rows.node.to_numpy(), rows.n.to_numpy())
         level = np.frexp(node.astype(np.float64))[1] - 1
-        low = leaf_range((node << (DEPTH - level)) - (1 << DEPTH))[0]
-        high = leaf_range(((node + 1) << (DEPTH - level)) - 1 - (1 << DEPTH))[1]
+        low, high = leaf_range((node << (DEPTH - level)) - (1 << DEPTH), ((node + 1) << (DEPTH - level)) - 1 - (1 << DEPTH), whole_)
         total = np.bincount(code, count).astype(np.int64)
         before = np.concatenate([[0], np.cumsum(total)])
         out = {"grp": g[1].to_numpy(), "n": total}
@@ -144,26 +174,29 @@ def _bounds(percents: list[int]):
     return run
 
 
-def percentiles(nodes: DataFrame, percents: list[int]) -> DataFrame:
-    """grp, n and for each percent p the bounds lo<p> <= percentile <= hi<p>, the percentile being the value at index p*(n-1) div 100."""
-    schema = "grp bigint, n bigint, " + ", ".join(f"{b}{p} bigint" for b in ("lo", "hi") for p in percents)
-    return nodes.repartition("grp").sortWithinPartitions("grp").mapInPandas(_bounds(percents), schema)
+def percentiles(nodes: DataFrame, percents: list[int], whole_: bool = True) -> DataFrame:
+    """grp, n and for each percent p the bounds lo<p> <= percentile <= hi<p>, the percentile being the value at index p*(n-1) div 100.
+
+    whole_: the values were whole numbers, and so are the bounds; doubles otherwise.
+    """
+    schema = "grp bigint, n bigint, " + ", ".join(f"{b}{p} {'bigint' if whole_ else 'double'}" for b in ("lo", "hi") for p in percents)
+    return nodes.repartition("grp").sortWithinPartitions("grp").mapInPandas(_bounds(percents, whole_), schema)
 
 
 def exceeding(rows: DataFrame, group: str, value: str, limits: DataFrame, percents: list[int]) -> DataFrame:
     """(group, pct) of the groups whose percentile exceeds ``limit``; limits: (group, limit), a group once.
 
-    The digest settles all groups whose bounds lie on one side of the limit. For the others the rows at or below the limit are counted.
+    The digest settles all groups whose bounds lie on one side of the limit. For the others the rows at or below the limit are counted. Rows are read twice;
+    if they are dear to get, cut their lineage first.
     """
-    from wayflow.session import cut
-
-    asked = percentiles(digest(rows, group, value), percents).join(limits.select(F.col(group).cast("bigint").alias("grp"), "limit"), "grp")
+    kind = whole(rows, value)
+    asked = percentiles(digest(rows, group, value), percents, kind).join(limits.select(F.col(group).cast("bigint").alias("grp"), "limit"), "grp")
     each: Column = F.explode(F.array(*(F.struct(F.lit(p).alias("pct"), F.col(f"lo{p}").alias("lo"), F.col(f"hi{p}").alias("hi")) for p in percents)))
     asked = cut(asked.select("grp", "n", "limit", each.alias("q")).select("grp", "n", "limit", "q.*"))
     sure = asked.where(F.col("lo") > F.col("limit")).select("grp", "pct")
     open_ = asked.where((F.col("lo") <= F.col("limit")) & (F.col("hi") > F.col("limit")))
     some = open_.select(F.col("grp").alias("g"), "limit").distinct()
-    kept = rows.where(F.col(value) >= 0).select(F.col(group).cast("bigint").alias("g"), F.col(value).alias("v"))
+    kept = rows.select(F.col(group).cast("bigint").alias("g"), F.col(value).alias("v"))
     below = kept.join(some, "g").where(F.col("v") <= F.col("limit")).groupBy("g").agg(F.count("*").alias("below"))
     exact = open_.join(below, F.col("grp") == F.col("g"), "left").where(F.coalesce("below", F.lit(0)) <= F.expr("pct * (n - 1) div 100")).select("grp", "pct")
     return sure.unionAll(exact)
