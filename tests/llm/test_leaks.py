@@ -85,3 +85,12 @@ def test_rows(spark, monkeypatch):
     assert {tuple(r) for r in leaks.found(docs, items).collect()} == want
     assert leaks.found(docs, items.limit(0)).count() == 0
     assert leaks.found(docs.limit(0), items).count() == 0
+
+
+def test_a_million_letters_take_no_square():
+    import time
+
+    began = time.time()
+    text = "a" * 1_000_000 + " torn-\nword " + "b" * 1_000_000 + "{}" * 100_000
+    assert leaks.words(text)[1] == "tornword"
+    assert time.time() - began < 2

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 LEAST, RUN = 15, 6
 ITEM_CHARS = 4_000_000
 COMMAND = re.compile(r"\\[a-zA-Z@]+\*?")
-HYPHEN = re.compile(r"([^\W_]+)[{}]*[-\u2010\u2011\u00ad][ \t]*\r?\n[ \t]*%*[ \t]*[{}]*([^\W_]+)")
+# possessive, and only from the first letter of a run on, so that a long run is read once
+HYPHEN = regex.compile(r"(?<![^\W_])([^\W_]++)[{}]*+[-\u2010\u2011\u00ad][ \t]*+\r?\n[ \t]*+%*+[ \t]*+[{}]*+([^\W_]++)")
 TORN = re.compile(r"[-\u2010\u2011\u00ad][ \t]*\r?\n")
 WORD = re.compile(r"[^\W_]+")
 PLACED = regex.compile(r"(?P<skip>\\[a-zA-Z@]+\*?)|(?P<word>(?:[\p{L}\p{N}\p{M}]|(?<=[\p{L}\p{N}\p{M}])[{}\u00ad]+(?=[\p{L}\p{N}\p{M}]))+)")
@@ -47,7 +48,7 @@ def folded(text: str) -> str:
 def words(text: str, known: set[str] = frozenset()) -> list[str]:
     """Normalised words. At a line end a hyphen joins its sides, unless only the sides by themselves are known words."""
 
-    def join(m: re.Match) -> str:
+    def join(m: regex.Match) -> str:
         a, b = folded(m[1]), folded(m[2])
         return f"{m[1]} {m[2]}" if a + b not in known and a in known and b in known else m[1] + m[2]
 

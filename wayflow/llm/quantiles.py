@@ -47,8 +47,9 @@ def quantised(v: np.ndarray) -> np.ndarray:
 
 def leaf_range(first: np.ndarray, last: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest value of the leaves first..last."""
-    at = lambda i: np.minimum(i << DROP, np.float64(np.inf).view(np.int64)).view(np.float64)
-    below = lambda i: np.minimum(((i + 1) << DROP) - 1, np.float64(np.inf).view(np.int64)).view(np.float64)
+    infinite = 0x7FF << MANTISSA
+    at = lambda i: (np.minimum(i, infinite) << DROP).view(np.float64)
+    below = lambda i: np.where(i < infinite, ((np.minimum(i, infinite - 1) + 1 << DROP) - 1).view(np.float64), np.inf)
     if not whole:
         return np.where(first < ZERO, -below(np.maximum(ZERO - 1 - first, 0)), at(np.maximum(first - ZERO, 0))), np.where(last < ZERO, -at(np.maximum(ZERO - 1 - last, 0)), below(np.maximum(last - ZERO, 0)))
 
