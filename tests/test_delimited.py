@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayflow.operators import delimited
@@ -60,13 +62,13 @@ def lines(seed):
 @pytest.mark.parametrize("chunk", [1, 7, 512])
 def test_states_compose_over_chunks(chunk):
     records = [x for x in lines(1) if x]
-    t = delimited.Tokenized([x.encode() for x in records], chunk)
+    t = delimited.Tokenized(pa.array(records), chunk)
     for i, x in enumerate(records):
         f = fields(x)
         assert (t.offset[i] >= 0) == (f is None), x
         if f is not None:
             assert t.fields[i] == len(f)
-            assert [t.field(i, k) for k in range(len(f))] == [(v[1:-1].replace('""', '"') if v.startswith('"') else v).strip() for v in f]
+            assert t.field(np.full(len(f), i), np.arange(len(f))).to_pylist() == [(v[1:-1].replace('""', '"') if v.startswith('"') else v).strip() for v in f]
 
 
 def test_reasons_and_types(spark):

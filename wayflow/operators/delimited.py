@@ -7,19 +7,21 @@ the work per byte is the same however the records lie.
 
 Defined results: a null, blank, ``#`` or repeated-header line is no data and gives no row; a file without a first line has no header,
 so each of its data lines is rejected as ``column_count`` unless its quoting is broken; a header that lacks a checked column makes that
-column invalid in every row of the file; of several first lines of a file the one with the lowest line_id counts; a null file name is a file of its own.
+column invalid in every row of the file, and of several columns of one name the first counts; of several first lines of a file the one with the lowest line_id counts; a null file name is a file of its own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayflow.session import cut, measured
+
 START, PLAIN, QUOTED, CLOSING, BROKEN = range(5)
 OTHER, QUOTE, COMMA, END = range(4)
 #: NEXT[class, state] is the state after a byte of that class.
@@ -37,9 +39,9 @@ CLASS[ord('"')], CLASS[ord(",")] = QUOTE, COMMA
 
 CHECKED = ("dataset", "iteration", "total_after")
 VALID = {
-    "dataset": re.compile(r"(?:Hop[0-9]+Rep|BJRealRep|MHRealRep)[0-9]+-[0-9]+"),
-    "iteration": re.compile(r"0*[0-9]{1,3}"),
-    "total_after": re.compile(r"0*[0-9]{1,19}"),
+    "dataset": r"\A(?:Hop[0-9]+Rep|BJRealRep|MHRealRep)[0-9]+-[0-9]+\z",
+    "iteration": r"\A0*[0-9]{1,3}\z",
+    "total_after": r"\A0*[0-9]{1,19}\z",
 }
 #: The columns of an ablation fact row in order, with the type each is given (fixed values).
 ABLATION = (
@@ -78,15 +80,27 @@ def label(classes: np.ndarray, chunk: int = 512) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
+def sliced(buffer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The stretches lo..hi of a buffer as an Arrow array of strings."""
+    size = np.maximum(hi - lo, 0)
+    offsets = np.zeros(len(lo) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.large_string(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(buffer[at])])
+
+
 class Tokenized:
     """Field boundaries of a batch of records, and where each record's quoting breaks."""
 
-    def __init__(self, records: list[bytes], chunk: int = 512):
-        lengths = np.fromiter(map(len, records), np.int64, len(records))
-        self.buffer = b"\n".join(records) + b"\n"
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
-        classes = CLASS[np.frombuffer(self.buffer, np.uint8)]
+    def __init__(self, records: pa.Array, chunk: int = 512):
+        lines = pc.binary_join_element_wise(records.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+        n = len(lines)
+        offsets = np.frombuffer(lines.buffers()[1], np.int64, n + 1 + lines.offset)[lines.offset :] if n else np.zeros(1, np.int64)
+        whole = np.frombuffer(lines.buffers()[2], np.uint8) if n and lines.buffers()[2] is not None else np.zeros(0, np.uint8)
+        self.buffer = whole[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        self.starts, self.ends = offsets[:-1], offsets[1:] - 1
+        classes = CLASS[self.buffer]
         classes[self.ends] = END
         before = label(classes, chunk)
         after = NEXT[classes, before]
@@ -94,7 +108,7 @@ class Tokenized:
         broken[self.ends] = before[self.ends] == QUOTED
         at = np.flatnonzero(broken)
         first = np.searchsorted(at, self.starts)
-        self.offset = np.full(len(records), -1, np.int64)  # byte offset in the record of the first break
+        self.offset = np.full(n, -1, np.int64)  # byte offset in the record of the first break
         hit = first < len(at)
         hit[hit] = at[first[hit]] <= self.ends[hit]
         self.offset[hit] = at[first[hit]] - self.starts[hit]
@@ -103,85 +117,92 @@ class Tokenized:
         self.last = np.searchsorted(self.stops, self.ends)
         self.fields = self.last - self.first + 1
 
-    def field(self, record: int, k: int) -> str:
-        """Field k, unquoted and without blanks at either end."""
-        at = self.first[record] + k
-        lo = self.starts[record] if k == 0 else self.stops[at - 1] + 1
-        raw = self.buffer[lo : self.stops[at]]
-        if raw[:1] == b'"':
-            raw = raw[1:-1].replace(b'""', b'"')
-        return raw.decode("utf-8", "replace").strip()
-
+    def bounds(self, records: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where field k[i] of record records[i] lies in the buffer."""
+        at = self.first[records] + k
+        return np.where(k == 0, self.starts[records], self.stops[np.maximum(at - 1, 0)] + 1), self.stops[at]
 
-def plain(line: str) -> str:
-    return line[:-1] if line.endswith("\r") else line
+    def field(self, records: np.ndarray, k: np.ndarray) -> pa.Array:
+        """Fields as ``bounds`` places them, unquoted and without blanks at either end."""
+        lo, hi = self.bounds(records, k)
+        quoted = (hi > lo) & (self.buffer[np.minimum(lo, max(len(self.buffer) - 1, 0))] == ord('"')) if len(self.buffer) else np.zeros(len(lo), bool)
+        out = sliced(self.buffer, lo + quoted, hi - quoted)
+        if quoted.any():
+            out = pc.if_else(pa.array(quoted), pc.replace_substring(out, '""', '"'), out)
+        return pc.utf8_trim_whitespace(out)
 
 
-def header(line: str) -> str:
-    return plain(line.removeprefix("﻿"))
+def plain(line: Column) -> Column:
+    return F.regexp_replace(line, r"\r\z", "")
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = [header(x) for x in batch.column(1).to_pylist()]
-        t = Tokenized([x.encode() for x in lines])
-        names = [[t.field(i, k) for k in range(t.fields[i])] for i in range(len(lines))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string()), pa.array(names, pa.list_(pa.string()))], names=["file", "header", "names"])
+        t = Tokenized(batch.column(1))
+        names = [t.field(np.full(n, i), np.arange(n)).to_pylist() for i, n in enumerate(t.fields)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.string()))], names=["file", "header", "names"])
+
+
+def _valid(name: str, values: pa.Array) -> np.ndarray:
+    ok = pc.match_substring_regex(values, VALID[name])
+    if name == "total_after":
+        digits = pc.utf8_ltrim(values, "0")
+        size = pc.utf8_length(digits)
+        ok = pc.and_(ok, pc.or_(pc.less(size, 19), pc.and_(pc.equal(size, 19), pc.less_equal(digits, str(2**63 - 1)))))
+    return ok.to_numpy(zero_copy_only=False)
+
 
+def _lines(wanted: list[str], only_bad: bool):
+    """Fields are found, cut out and tested as arrays; single records are touched only for the offset of a fault."""
 
-def _lines(wanted: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            line_id, line, head, names = (batch.column(i).to_pylist() for i in range(4))
-            keep, records = [], []
-            for i, x in enumerate(line):
-                if x is not None:
-                    x = plain(x)
-                    if x.strip() and x[0] != "#" and x != head[i]:
-                        keep.append(i)
-                        records.append(x)
-            t = Tokenized([x.encode() for x in records])
-            places: dict[tuple, dict[str, int]] = {}
-            reason, bad, offset, rows = [], [], [], []
-            for r, i in enumerate(keep):
-                columns = names[i]
-                at = t.offset[r]
-                row: list[str | None] = [None] * len(wanted)
-                if at >= 0:
-                    why, what = "quoting", "line"
-                elif columns is None or t.fields[r] != len(columns):
-                    why, what, at = "column_count", "line", 0
-                else:
-                    if (place := places.get(key := tuple(columns))) is None:
-                        place = places[key] = {c: k for k, c in reversed(list(enumerate(columns)))}
-                    why = what = None
-                    for c in CHECKED:
-                        v = t.field(r, place[c]) if c in place else ""
-                        if not VALID[c].fullmatch(v) or c == "total_after" and int(v) > 2**63 - 1:
-                            why, what = "invalid_value", c
-                            at = t.stops[t.first[r] + place[c] - 1] + 1 - t.starts[r] if place.get(c) else 0
-                            break
-                    else:
-                        row = [t.field(r, place[c]) if c in place else None for c in wanted]
-                reason.append(why)
-                bad.append(what)
-                offset.append(None if why is None else len(t.buffer[t.starts[r] : t.starts[r] + at].decode("utf-8", "ignore")))
-                rows.append(row)
+            line_id, line, names = batch.columns
+            n = batch.num_rows
+            t = Tokenized(line)
+            coded = pc.dictionary_encode(pc.binary_join(names, "\x00"))  # files share their headers
+            code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            heads = [str(x).split("\x00") for x in coded.dictionary.to_pylist()]
+            size = np.array([*map(len, heads), -1])
+            why = np.where(t.offset >= 0, 1, np.where(t.fields != size[code], 2, 0))
+            bad = np.where(why > 0, 0, -1)
+            offset = np.where(why == 1, t.offset, 0)
+            place = lambda c: np.array([*(h.index(c) if c in h else -1 for h in heads), -1])[code]  # noqa: E731, B023
+            for k, c in enumerate(CHECKED, 1):
+                left = np.flatnonzero(why == 0)
+                at = place(c)[left]
+                known = at >= 0
+                fine = np.zeros(len(left), bool)
+                fine[known] = _valid(c, t.field(left[known], at[known]))
+                out = left[~fine]
+                why[out], bad[out] = 3, k
+                offset[out] = np.where(at[~fine] >= 0, t.bounds(out, np.maximum(at[~fine], 0))[0] - t.starts[out], 0)
+            rows = np.flatnonzero(why > 0) if only_bad else np.arange(n)
+            chars = [None if not why[r] else len(t.buffer[t.starts[r] : t.starts[r] + offset[r]].tobytes().decode("utf-8", "ignore")) if offset[r] else 0 for r in rows]
+            reasons, fields = pa.array([None, "quoting", "column_count", "invalid_value"]), pa.array(["line", *CHECKED])
+            columns = []
+            good = np.flatnonzero(why == 0)
+            for c in wanted:
+                at = place(c)[good]
+                known = at >= 0
+                value = t.field(good[known], at[known])
+                index = np.full(n, -1)
+                index[good[known]] = np.arange(len(value))
+                columns.append(value.take(pa.array(index[rows], mask=index[rows] < 0)).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([line_id[i] for i in keep], pa.int64()), pa.array(reason, pa.string()), pa.array(bad, pa.string()), pa.array(offset, pa.int64())]
-                + [pa.array([x[k] for x in rows], pa.string()) for k in range(len(wanted))],
+                [line_id.take(pa.array(rows)), reasons.take(pa.array(why[rows])), fields.take(pa.array(bad[rows], mask=bad[rows] < 0)), pa.array(chars, pa.int64()), *columns],
                 names=["line_id", "reason", "bad_field", "error_offset", *wanted],
             )
 
     return run
 
 
-def parse_result_lines(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def parse_result_lines(lines: DataFrame, columns: list[str] | None = None, only_bad: bool = False) -> DataFrame:
     """Every data line of the result files (line_id, file_name, line_no, line): reason, bad_field and the character offset of the fault,
-    or, where these are null, the fields named in ``columns`` as text.
+    or, where these are null, the fields named in ``columns`` as text. only_bad: good lines are left out.
 
-    The headers, one row per file, join on the file name; whether that join broadcasts or splits a hot file is left to the adaptive planner,
-    which knows the measured size of the header side.
+    The headers, one row per file, are worked out first. If they are small as measured they are broadcast, so that the lines stay where they were read;
+    else both sides are joined by file name, and a hot file is split by the adaptive planner.
     """
     wanted = list(columns or [])
     file = F.coalesce(F.col("file_name"), F.lit("\x00")).alias("file")
@@ -189,16 +210,19 @@ def parse_result_lines(lines: DataFrame, columns: list[str] | None = None) -> Da
         lines.where((F.col("line_no") == 1) & F.col("line").isNotNull())
         .groupBy(file)
         .agg(F.min_by("line", "line_id").alias("line"))
+        .select("file", plain(F.regexp_replace("line", "^\ufeff", "")).alias("header"))
         .mapInArrow(_headers, "file string, header string, names array<string>")
     )
-    body = lines.where((F.col("line_no") > 1) | F.col("line_no").isNull()).select("line_id", file, "line")
-    joined = body.join(heads, "file", "left").select("line_id", "line", "header", "names")
+    heads = measured(cut(heads))
+    body = lines.where(((F.col("line_no") > 1) | F.col("line_no").isNull()) & F.col("line").isNotNull()).select("line_id", file, plain(F.col("line")).alias("line"))
+    body = body.where(~F.col("line").startswith("#") & ~F.col("line").rlike(r"(?U)\A\s*\z"))
+    joined = body.join(heads, "file", "left").where(~F.col("line").eqNullSafe(F.col("header"))).select("line_id", "line", "names")
     schema = ", ".join(["line_id bigint, reason string, bad_field string, error_offset bigint", *(f"{c} string" for c in wanted)])
-    return joined.mapInArrow(_lines(wanted), schema)
+    return joined.mapInArrow(_lines(wanted, only_bad), schema)
 
 
 def rejected(lines: DataFrame) -> DataFrame:
-    return parse_result_lines(lines).where("reason is not null").select("line_id", "reason", "bad_field")
+    return parse_result_lines(lines, only_bad=True).select("line_id", "reason", "bad_field")
 
 
 def typed(lines: DataFrame) -> DataFrame:

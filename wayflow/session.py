@@ -30,10 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint ``df`` as a broadcast only if the optimiser's size estimate, an upper bound for scans and projections, proves it small."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= limit else df
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a checkpointed table as a broadcast only if its rows, written as JSON, have at most ``limit`` bytes together."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] if df.columns else 0
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def fresh(df: DataFrame) -> DataFrame:
