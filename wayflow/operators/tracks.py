@@ -1,18 +1,20 @@
 """Trips and stops from location pings.
 
-The pings are range-partitioned and sorted by (taxi, time), so that a taxi with a third of all pings spreads over many tasks like any
-other. A track may be cut wherever two successive pings are over 1800 s or over twice the stop radius apart: no stop reaches across. Each
-task works on what lies between its first and last such cut; the pings before the first and after the last, a few per task, are joined
-with those of the neighbouring tasks and worked on by the same code, one group per boundary. What a trip needs from another task
-(its outermost stops, gaps and path lengths) is a handful of rows per task, joined by a window.
-
-Within a gap session, time-synchronised Douglas-Peucker simplification keeps the pings that matter at a tolerance. A ping can only begin a
-stop if the simplified track has a low mean speed over the shortest stay from there on (the tolerance makes this bound safe); from these
-the exact extent of each stop is measured on the pings. Trips run from stop to stop; their distance is the length of the simplified track.
+The pings are range-partitioned by (taxi, hour) and sorted by (taxi, time), so that a taxi with a third of all pings spreads over many tasks like any
+other. Where two successive pings are over 1800 s or over twice the stop radius apart no stop reaches across; where that falls on a change of taxi, a gap
+or a change of the hour a track may be cut. Each task works on what lies between its first and last such cut; the pings before the first and after
+the last, a few hours of one taxi per task, are joined with those of the neighbouring tasks and worked on by the same code, one group per boundary.
+What a trip needs from another task (its outermost stops, gaps and path lengths) is a handful of rows per task, joined by a window.
+
+Time-synchronised Douglas-Peucker simplification keeps, within each hour of a gap session, the pings that matter at a tolerance; all hours of a task are
+simplified together, level by level. The first and last ping of an hour are always kept, which ties the result to the data and not to the tasks. Slow
+stretches of the simplified track, where it moves on by little over the shortest stay (the tolerance makes this bound safe), form the stops: each begins
+at the first ping of a stretch that holds one, and its exact extent is then refined on the pings. The segments that remain define the trips: they run
+from stop to stop, and their distance is the length of the simplified track.
 
 Defined results: pings without taxi, time or plausible coordinates are ignored; equal pings count once; several places at one time are
-ordered by longitude, then latitude; no pings give no rows. One dwell that never moves by over 200 m between pings nor falls silent, over
-several whole partitions, is measured in one task.
+ordered by longitude, then latitude; no pings give no rows; results don't depend on the number of partitions. One dwell that never moves by over 200 m
+between pings nor falls silent, over several whole partitions, is measured in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from wayflow.session import cut
 
 EARTH_M = 6371008.8
 STAY_M, STAY_S, GAP_S, FAST_KMH = 100.0, 300, 1800, 250.0
-TOLERANCE_M, BLOCK = 30.0, 4096
+TOLERANCE_M, HOUR_US = 30.0, 3_600_000_000
 GAP, PATH, STOP = 0, 1, 2
 COLUMNS = ["kind", "side", "pid", "taxi", "t0", "t1", "lon0", "lat0", "lon1", "lat1", "metres", "own"]
 SCHEMA = "kind string, side int, pid int, taxi string, t0 bigint, t1 bigint, lon0 double, lat0 double, lon1 double, lat1 double, metres double, own boolean"
@@ -72,42 +74,70 @@ def strays(taxi: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray) ->
     return drop
 
 
-def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: float = TOLERANCE_M) -> np.ndarray:
-    """Mask of the vertices that time-synchronised Douglas-Peucker keeps; every BLOCK-th ping is kept, which bounds the work."""
+def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, unit: np.ndarray, tolerance: float = TOLERANCE_M) -> np.ndarray:
+    """Mask of the vertices that time-synchronised Douglas-Peucker keeps in each unit (equal numbers stand together); all units are split at once, level by level."""
     n = len(t)
-    keep = np.zeros(n, bool)
-    keep[::BLOCK] = keep[-1:] = True
-    ends = np.flatnonzero(keep)
-    stack = list(zip(ends[:-1], ends[1:], strict=True))
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        s = (t[a + 1 : b] - t[a]) / max(t[b] - t[a], 1e-9)
-        off = (x[a + 1 : b] - x[a] - s * (x[b] - x[a])) ** 2 + (y[a + 1 : b] - y[a] - s * (y[b] - y[a])) ** 2
-        m = int(off.argmax())
-        if off[m] > tolerance * tolerance:
-            keep[a + 1 + m] = True
-            stack += [(a, a + 1 + m), (a + 1 + m, b)]
+    keep = np.ones(n, bool)
+    if n > 2:
+        keep[1:-1] = (unit[1:-1] != unit[:-2]) | (unit[1:-1] != unit[2:])
+    open_ = np.flatnonzero(~keep)
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(keep, at, 0))[open_]
+    after = np.minimum.accumulate(np.where(keep, at, n)[::-1])[::-1][open_]
+    while len(open_):
+        s = (t[open_] - t[before]) / np.maximum(t[after] - t[before], 1e-9)
+        off = (x[open_] - x[before] - s * (x[after] - x[before])) ** 2 + (y[open_] - y[before] - s * (y[after] - y[before])) ** 2
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        size = np.diff(np.append(first, len(open_)))
+        most = np.maximum.reduceat(off, first)
+        split = np.repeat(most > tolerance * tolerance, size)
+        hit = np.flatnonzero(split & (off == np.repeat(most, size)))
+        hit = hit[np.concatenate([[True], before[hit][1:] != before[hit][:-1]])] if len(hit) else hit  # the first of equal ones
+        keep[open_[hit]] = True
+        mid = np.repeat(np.where(most > tolerance * tolerance, 0, -1), size)
+        mid[split] = np.repeat(open_[hit], size[most > tolerance * tolerance])
+        left = split & (open_ != mid)
+        before = np.where(open_ > mid, mid, before)[left]
+        after = np.where(open_ < mid, mid, after)[left]
+        open_ = open_[left]
     return keep
 
 
-def session_events(t: np.ndarray, lon: np.ndarray, lat: np.ndarray, piece: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Of the pings of one session: the stops as (first, last), and the length of the simplified track up to each ping."""
+def events(taxi: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, start: int, stop: int) -> list[tuple]:
+    """Gaps, path lengths and stops in order, of the pings start..stop of a sequence without strays; the hop into a ping belongs to it."""
+    if stop <= start:
+        return []
+    gap, into = True, 0.0
+    if start and taxi[start] == taxi[start - 1] and t[start] - t[start - 1] <= GAP_S * 1_000_000:
+        gap, into = False, float(haversine(lon[start - 1], lat[start - 1], lon[start], lat[start]))
+    taxi, t, lon, lat = (v[start:stop] for v in (taxi, t, lon, lat))
+    n = len(t)
+    gaps, hours, hop = np.full(n, gap), np.zeros(n, bool), np.zeros(n)
+    gaps[1:] = (taxi[1:] != taxi[:-1]) | (t[1:] - t[:-1] > GAP_S * 1_000_000)
+    hours[1:] = t[1:] // HOUR_US != t[:-1] // HOUR_US
+    hop[1:] = haversine(lon[:-1], lat[:-1], lon[1:], lat[1:])
+    unit, piece = np.cumsum(gaps | hours), np.cumsum(gaps | (hop > 2 * STAY_M))
     sec = (t - t[0]) / 1e6
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], unit[1:] != unit[:-1]]), np.arange(n), 0))
+    x = np.radians(lon) * EARTH_M * np.cos(np.radians(lat[head]))
     y = np.radians(lat) * EARTH_M
-    x = np.radians(lon) * EARTH_M * np.cos(np.radians(lat.mean()))
-    keep = simplify(sec, x, y)
+    keep = simplify(sec, x, y, unit)
     at = np.flatnonzero(keep)
-    sx, sy = np.interp(sec, sec[at], x[at]), np.interp(sec, sec[at], y[at])
-    n = len(t)
-    later = np.searchsorted(t, t + STAY_S * 1_000_000)
+    a = at[np.searchsorted(at, np.arange(n), "right") - 1]
+    b = at[np.searchsorted(at, np.arange(n))]
+    share = (sec - sec[a]) / np.maximum(sec[b] - sec[a], 1e-9)
+    slon, slat = lon[a] + share * (lon[b] - lon[a]), lat[a] + share * (lat[b] - lat[a])
+    # the first ping from which a stay would be long enough; taxis follow one another, so time is made to grow across them
+    clock = t + np.cumsum(np.concatenate([[False], taxi[1:] != taxi[:-1]])) * (int(t.max()) - int(t.min()) + 2 * STAY_S * 1_000_000)
+    later = np.searchsorted(clock, clock + STAY_S * 1_000_000)
     inside = np.minimum(later, n - 1)
-    slow = (later < n) & (piece[inside] == piece) & (np.hypot(sx[inside] - sx, sy[inside] - sy) <= (STAY_M + 2 * TOLERANCE_M) * 1.1)
-    stops = []
+    slow = (later < n) & (piece[inside] == piece) & (haversine(slon, slat, slon[inside], slat[inside]) <= (STAY_M + 2 * TOLERANCE_M) * 1.1)
+    # of the slow stretches, the pings whose stay is not over before it is long enough
     starts = np.flatnonzero(slow)
-    i = 0
-    while (k := np.searchsorted(starts, i)) < len(starts):
+    starts = starts[haversine(lon[starts], lat[starts], lon[inside[starts]], lat[inside[starts]]) <= STAY_M]
+    stops = []
+    i = k = 0
+    while (k := k + int(np.searchsorted(starts[k:], i))) < len(starts):
         i = int(starts[k])
         last, step = i, 32
         end = int(np.searchsorted(piece, piece[i], "right"))
@@ -125,41 +155,22 @@ def session_events(t: np.ndarray, lon: np.ndarray, lat: np.ndarray, piece: np.nd
         else:
             i += 1
     at = np.flatnonzero(keep)
-    cum = np.zeros(n)
-    cum[at[1:]] = np.cumsum(haversine(lon[at[:-1]], lat[at[:-1]], lon[at[1:]], lat[at[1:]]))
-    return stops, np.maximum.accumulate(cum)
-
-
-def events(taxi: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, start: int, stop: int) -> list[tuple]:
-    """Gaps, path lengths and stops in order, of the pings start..stop of a sequence without strays; the hop into a ping belongs to it."""
-    if stop <= start:
-        return []
-    n = len(t)
-    gap = np.ones(n, bool)
-    gap[1:] = (taxi[1:] != taxi[:-1]) | (t[1:] - t[:-1] > GAP_S * 1_000_000)
-    hop = np.zeros(n)
-    hop[1:] = haversine(lon[:-1], lat[:-1], lon[1:], lat[1:])
-    apart = gap | (hop > 2 * STAY_M)
-    bounds = np.unique([start, *np.flatnonzero(gap[start:stop]) + start, stop])
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+    length = np.zeros(n)
+    length[at[1:]] = np.where(gaps[at[1:]], 0.0, haversine(lon[at[:-1]], lat[at[:-1]], lon[at[1:]], lat[at[1:]]))
+    cum = np.cumsum(length) + into
+    out, s = [], 0
+    bounds = np.unique([0, *np.flatnonzero(gaps), n])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         who = taxi[a]
-        if gap[a]:
+        if gaps[a]:
             out.append((GAP, who, t[a], t[a], lon[a], lat[a], lon[a], lat[a], 0.0))
-            into = 0.0
-        else:
-            into = hop[a]
-        if t[b - 1] - t[a] >= STAY_S * 1_000_000:
-            stops, cum = session_events(t[a:b], lon[a:b], lat[a:b], np.cumsum(apart[a:b]))
-        else:
-            stops, total = [], hop[a + 1 : b].sum()
-            cum = np.array([total])
-        done = -into
-        for i, k in stops:
-            out.append((PATH, who, t[a], t[a + i], lon[a], lat[a], lon[a + i], lat[a + i], cum[i] - done))
-            out.append((STOP, who, t[a + i], t[a + k], lon[a + i], lat[a + i], lon[a + k], lat[a + k], 0.0))
-            done = cum[k]
-        out.append((PATH, who, t[a], t[b - 1], lon[a], lat[a], lon[b - 1], lat[b - 1], cum[-1] - done))
+        done = cum[a] if gaps[a] else 0.0
+        while s < len(stops) and stops[s][0] < b:
+            i, k = stops[s]
+            out.append((PATH, who, t[a], t[i], lon[a], lat[a], lon[i], lat[i], cum[i] - done))
+            out.append((STOP, who, t[i], t[k], lon[i], lat[i], lon[k], lat[k], 0.0))
+            done, s = cum[k], s + 1
+        out.append((PATH, who, t[a], t[b - 1], lon[a], lat[a], lon[b - 1], lat[b - 1], cum[b - 1] - done))
     return out
 
 
@@ -224,22 +235,28 @@ def _partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = len(t)
     left = np.flatnonzero(~strays(code, t, lon, lat))
     a, b = left[:-1], left[1:]
-    safe = (code[a] != code[b]) | (t[b] - t[a] > GAP_S * 1_000_000) | (haversine(lon[a], lat[a], lon[b], lat[b]) > 2 * STAY_M)
+    away = (haversine(lon[a], lat[a], lon[b], lat[b]) > 2 * STAY_M) & (t[a] // HOUR_US != t[b] // HOUR_US)
+    safe = (code[a] != code[b]) | (t[b] - t[a] > GAP_S * 1_000_000) | away
     safe &= (a >= 2) & (b <= n - 3)  # what is stray at the very ends shows only with the neighbours
     cuts = np.flatnonzero(safe) + 1  # positions in left
 
-    def raw(lo: int, hi: int, own_lo: int, own_hi: int, side: int) -> list[tuple]:
-        return [("raw", side, pid, words[code[k]], t[k], t[k], lon[k], lat[k], lon[k], lat[k], 0.0, bool(own_lo <= k < own_hi)) for k in range(max(lo, 0), min(hi, n))]
+    def raw(lo: int, hi: int, own_lo: int, own_hi: int, side: int) -> pa.RecordBatch:
+        k = np.arange(max(lo, 0), min(hi, n))
+        of = lambda v: pa.array(v[k])
+        fixed = [pa.array(np.full(len(k), v), kind) for v, kind in ((side, pa.int32()), (pid, pa.int32()))]
+        own = pa.array((own_lo <= k) & (k < own_hi))
+        names = pa.array(words[code[k]], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(["raw"] * len(k), pa.string()), *fixed, names, of(t), of(t), of(lon), of(lat), of(lon), of(lat), pa.array(np.zeros(len(k))), own], schema=ARROW)
 
     rows = [("sum", int(len(cuts) > 0), pid, None, None, None, None, None, None, None, None, None)]
     if not len(cuts):
-        rows += raw(0, n, 0, n, 2)
+        yield raw(0, n, 0, n, 2)
     else:
         first, last = left[cuts[0]], left[cuts[-1]]
         found = events(*(x[left] for x in (code, t, lon, lat)), int(cuts[0]), int(cuts[-1]))
         rows += paired([(e[0], words[e[1]], *e[2:]) for e in found], pid)
-        rows += raw(0, first + 2, 0, first, 0)
-        rows += raw(min(left[cuts[-1] - 1], last - 2), n, last, n, 1)
+        yield raw(0, first + 2, 0, first, 0)
+        yield raw(min(left[cuts[-1] - 1], last - 2), n, last, n, 1)
     yield _frame(rows)
 
 
@@ -261,7 +278,8 @@ def _boundary(key: tuple, raw: pd.DataFrame) -> pd.DataFrame:
 def trips_and_stops(pings: DataFrame) -> DataFrame:
     """taxi_id, kind ('stop' or 'trip'), start_us, end_us, duration_sec, metres, and the places where each starts and ends."""
     spark = pings.sparkSession
-    ordered = clean(pings).repartitionByRange("taxi", "t", "lon", "lat").sortWithinPartitions("taxi", "t", "lon", "lat")
+    hour = F.floor(F.col("t") / HOUR_US).alias("hour")
+    ordered = clean(pings).select("*", hour).repartitionByRange("taxi", "hour").sortWithinPartitions("taxi", "t", "lon", "lat").drop("hour")
     worked = cut(ordered.withColumn("pid", F.spark_partition_id()).mapInArrow(_partition, SCHEMA))
     # one row per task of the step above: which tasks were cut, hence to which boundary their ends belong
     cuts = dict(worked.where("kind = 'sum'").select("pid", "side").collect())
