@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from wayflow.model import TRAJECTORY
-from wayflow.operators import baselines, selection
+from wayflow.functions import scalar
+from wayflow.model import TRAJECTORY, AlgorithmOptions
+from wayflow.operators import baselines, dependency, selection
+from wayflow.operators.live import Live
 from wayflow.plans import reference
 
 
@@ -70,21 +73,77 @@ def test_priced_long_trip_keeps_lambda(spark):
     assert whole[0].edges == list(range(n)) and not whole[0].exhausted
 
 
+ARCS = "run_id bigint, src_edge int, src_time bigint, dst_edge int, dst_time bigint, kind string"
+NODES = "run_id bigint, edge_id int, time bigint, flow bigint, original_flow bigint"
+VISITS = "run_id bigint, trip_id int, edge_id int, time bigint"
+
+
 def test_flow_floor_goes_on_after_refusals(spark):
-    """Trip 0 is taken; 1 to 3 hold a node alone and are refused, which ends the round before trip 4. Without trip 0 their shared edge is faster, and 4 comes first."""
+    """Trip 0 is taken; 1 to 3 hold a node that has lost too much and are refused, which ends the round before trip 4. Without trip 0 their shared edge is faster, and 4 comes first."""
     edges = spark.createDataFrame([(0, 0, 1, 10, 1), (1, 0, 1, 100, 9), *((e, 0, 1, 10, 9) for e in (2, 3, 4)), (5, 0, 1, 200, 9)], EDGES)
     on = {0: [0, 1], 1: [0, 2], 2: [0, 3], 3: [0, 4], 4: [5]}
-    flow = {0: 4, 1: 2, 2: 1, 3: 1, 4: 1, 5: 2}
-    visits = spark.createDataFrame([(0, t, e, 0) for t, es in on.items() for e in es], "run_id bigint, trip_id int, edge_id int, time bigint")
-    nodes = spark.createDataFrame([(0, e, 0, f, f) for e, f in flow.items()], "run_id bigint, edge_id int, time bigint, flow bigint, original_flow bigint")
-    stays = spark.createDataFrame([(0, t, 0, es[0], 0, 1, True) for t, es in on.items()], TRAJECTORY)
-    got = selection.by_flow_floor(visits, nodes, stays, edges, 50).orderBy("place").collect()
+    flow = {0: (4, 4), 1: (2, 2), 2: (1, 4), 3: (1, 4), 4: (1, 4), 5: (2, 2)}
+    visits = spark.createDataFrame([(0, t, e, 0) for t, es in on.items() for e in es], VISITS)
+    nodes = spark.createDataFrame([(0, e, 0, f, o) for e, (f, o) in flow.items()], NODES)
+    arcs = spark.createDataFrame([], ARCS)
+    got = selection.by_flow_floor(visits, nodes, arcs, edges, 50).orderBy("place").collect()
     assert [(r.trip_id, r.place) for r in got] == [(0, 0), (4, 1)]
     # only edge 2 is watched: 1 alone is refused, all others go
-    got = selection.by_flow_floor(visits, nodes, stays, edges, 50, nodes.where("edge_id = 2")).collect()
+    got = selection.by_flow_floor(visits, nodes, arcs, edges, 50, nodes.where("edge_id = 2")).collect()
     assert {r.trip_id for r in got} == {0, 2, 3, 4}
 
 
+def test_floor_is_rounded_down(spark):
+    """Of half of one vehicle none need stay, of half of three one: one trip of one goes, two of three."""
+    edges = spark.createDataFrame([(0, 0, 1, 10, 9), (1, 0, 1, 10, 9)], EDGES)
+    visits = spark.createDataFrame([(0, 0, 0, 0), *((0, t, 1, 0) for t in (1, 2, 3))], VISITS)
+    nodes = spark.createDataFrame([(0, 0, 0, 1, 1), (0, 1, 0, 3, 3)], NODES)
+    got = selection.by_flow_floor(visits, nodes, spark.createDataFrame([], ARCS), edges, 50).collect()
+    assert {r.trip_id for r in got} == {0, 1, 2}
+
+
+def test_batches_count_loads(spark):
+    """What a trip meets in a batch is the number of its trips on every node: 1, 2 and 3 vehicles on a node count as such."""
+    edges = spark.createDataFrame([(e, 0, 1, 10, 1) for e in (1, 2, 3)], EDGES)
+    on = {0: [1, 2, 3], 1: [1, 2, 3], 2: [1, 2], 3: [1]}
+    visits = spark.createDataFrame([(0, t, e, 0) for t, es in on.items() for e in es], VISITS)
+    nodes = spark.createDataFrame([(0, e, 0, 5, 5) for e in (1, 2, 3)], NODES)
+    chosen = spark.createDataFrame([(0, t) for t in on], "run_id bigint, trip_id int")
+    got = {r.trip_id: r.batch for r in selection.batches(chosen, visits, nodes, edges, 90, 100).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
+def test_live_graph_leaves_and_joins():
+    """Edge 0 at 0, 5 and 50 with a delay of 10: 0 is felt at 5. Without the vehicle at 5 its arcs go, and 0 meets 50, which it doesn't reach."""
+    live = Live([0, 0, 0, 1], [0, 5, 50, 60], [1, 1, 2, 1], [10] * 4, [9] * 4, [(1, 3), (1, 3), (2, 3)])
+    # node 3 has three parents, as 1 leads to it twice; each gets 3, and 1 twice
+    one = 10 + (3 + 3) * 45 // 100
+    assert live.impacts(45) == [10 + one * 45 // 100, one, 10 + 3 * 45 // 100, 10]
+    live.remove([1])
+    assert live.flow == [1, 0, 2, 1] and not live.alive[1] and live.into[3] == {2}
+    assert live.impacts(45) == [10, 0, 10 + 10 * 45 // 100, 10]
+    live.remove([1])
+    live.insert([0, 1, 2, 3])
+    assert live.flow == [2, 0, 3, 2] and dict(live.out[2]) == {3: 1} and live.original == [1, 1, 2, 1]
+
+
+def test_exact_compression(spark):
+    """Windows of 10: trip 0 is represented by its entries, which are anchors for the trips after it."""
+    trajectories = spark.createDataFrame([(0, 0, 0, 7, 0, 12, False), (0, 0, 1, 8, 12, 30, True), (0, 1, 0, 8, 9, 40, True)], TRAJECTORY)
+    profile = spark.createDataFrame([(0, 7, 0, 1, True), (0, 8, 9, 1, True), (0, 8, 11, 1, True), (0, 8, 12, 2, True)], "run_id bigint, edge_id int, time bigint, flow bigint, is_entry boolean")
+    anchors = spark.createDataFrame([], "run_id bigint, edge_id int, time bigint, score bigint")
+    got = dependency.compressed_visits(trajectories, profile, anchors, AlgorithmOptions(delta_compress=10))
+    assert sorted((r.trip_id, r.place, r.edge_id, r.time) for r in got.collect()) == [(0, 0, 7, 0), (0, 1, 8, 12), (1, 0, 8, 9)]
+    later = trajectories.where("trip_id = 0").unionByName(spark.createDataFrame([(0, 1, 0, 7, 1, 10, False), (0, 1, 1, 8, 10, 40, True)], TRAJECTORY))
+    got = dependency.compressed_visits(later, profile.unionByName(spark.createDataFrame([(0, 7, 1, 2, True), (0, 8, 10, 1, True)], profile.schema)), anchors, AlgorithmOptions(delta_compress=10))
+    # the representative of trip 0 on edge 8, not the entry at 11 of someone else, and then its own last entry
+    assert sorted((r.place, r.edge_id, r.time) for r in got.where("trip_id = 1").collect()) == [(0, 7, 1), (1, 8, 12), (2, 8, 10)]
+
+
+def test_gate_of_100_is_none(spark):
+    assert spark.range(1).select(scalar.gate(F.lit(0.1), 100).alias("x"), scalar.gate(F.lit(0.75), 50).alias("y"), scalar.gate(F.lit(0.1), -5).alias("z")).first()[:] == (1.0, 0.5, 1.0)
+
+
 def test_every_destination(spark, tmp_path):
     edges, trips = write_tables(spark, tmp_path, nodes=24, far=100)
     ends = {d for _, _, d, _ in trips}

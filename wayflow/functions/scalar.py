@@ -88,7 +88,9 @@ def log_share(x, clip) -> Column:
 
 
 def gate(load, gate_percent: int) -> Column:
-    """0 below the gate, growing to 1 at full load."""
+    """0 below the gate, growing to 1 at full load; a gate below 0 or from 100 on is none."""
+    if not 0 <= gate_percent < 100:
+        return F.lit(1.0)
     g = gate_percent / 100
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_c(load) - g) / (1 - g)))
 
@@ -126,6 +128,19 @@ def safe_ratio(a, b, scale: float = 100.0) -> Column:
     return _c(a) / F.nullif(_c(b).cast("double"), F.lit(0.0)) * scale
 
 
+def per(a, b) -> Column:
+    """a / b, where b counts as 1 at least."""
+    return _c(a) / F.greatest(_c(b), F.lit(1))
+
+
+def place_of(value, order: list[str]) -> Column:
+    """Place of a label in a fixed order, for sorting; labels that are not in it come last."""
+    out = F.lit(len(order))
+    for k, label in reversed(list(enumerate(order))):
+        out = F.when(_c(value) == label, k).otherwise(out)
+    return out
+
+
 def dataset_group(dataset) -> Column:
     """The family of an experiment's data set name; other names stand for themselves."""
     d = _c(dataset)

@@ -47,16 +47,25 @@ class AlgorithmOptions:
     anchor_threshold: int = 20
     baseline_fraction: int = 30
     random_seed: int = 0
+    delta_initial: int = 1200
+    min_slot_width: int = 600
+    eta: int = 60  # known to parameter files, of no effect
+    enable_timing_log: bool = False
 
 
 #: Keys of parameter files where they differ from the field's name, and the fields that are percentages (fixed values).
-KEYS = {"lambda": "lambda_percent", "max_time": "max_time", "baseline_fraction_to_reroute": "baseline_fraction", "baseline_random_seed": "random_seed"}
+KEYS = {"lambda": "lambda_percent", "max_time": "max_time", "baseline_fraction_to_reroute": "baseline_fraction", "baseline_random_seed": "random_seed", "timing_log": "enable_timing_log"}
+#: Keys that belong to other readers of the same file.
+OTHERS = {"graph_path", "coordinates_path", "queries_path", "svp_k", "svp_theta", "release_last_edge", "tie_order"}
 PERCENT = {"alpha", "lambda_percent", "gamma", "candidate_theta", "impact_weight", "reroute_congestion_gate", "theta_percentile", "conflict_threshold", "anchor_threshold", "baseline_fraction"}
 
 
 def options_from(parameters: dict[str, str], kind: type):
-    """Options with those fields replaced that the parameter file names."""
+    """Options with those fields replaced that the parameter file names. A key that no reader of such files knows is an error."""
     own = {f.name: f for f in fields(kind)}
+    known = {f.name for k in (TrafficOptions, AlgorithmOptions) for f in fields(k)} | KEYS.keys() | OTHERS
+    if lost := sorted(parameters.keys() - known):
+        raise ValueError(f"unknown keys: {', '.join(lost)}")
     given = {}
     for key, text in parameters.items():
         name = KEYS.get(key, key)

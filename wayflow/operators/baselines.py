@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right, insort
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +18,14 @@ from wayflow.operators.reroute import ROUTE
 from wayflow.session import fresh
 
 
+#: The scale of prices is not doubled beyond this.
+MOST_SCALE = 1e300
+
+
 def greedy_routes(trips: DataFrame, edges: DataFrame, traffic: TrafficOptions = TrafficOptions()) -> DataFrame:
     """All trips advance edge by edge in order of (time, id); each takes the edge with the least arrival estimate (time so far, delay now, free flow from
-    there) among unvisited nodes that lie nearer to its goal, else among all unvisited ones; a trip that is stuck goes on, or starts again, on a shortest path.
+    there) among unvisited nodes that lie nearer to its goal, else among all unvisited ones. A trip that is stuck takes the shortest way on at once, at the
+    delays of the moment, and is on those edges for the others, too.
     """
     net = _shared(edges)
 
@@ -31,15 +39,26 @@ def greedy_routes(trips: DataFrame, edges: DataFrame, traffic: TrafficOptions =
             if d not in remaining:
                 remaining[d] = n.tree(d, backward=True)[0]
             if r.origin != d and int(r.origin) in remaining[d]:
-                state[r.trip_id] = (int(r.origin), d, int(r.origin), {int(r.origin)}, [])
+                state[r.trip_id] = (d, int(r.origin), {int(r.origin)}, [])
                 queue.append((int(r.depart), r.trip_id))
             else:
                 done[r.trip_id] = []
         heapq.heapify(queue)
-        present: dict[int, list[int]] = defaultdict(list)
+        # times at which vehicles enter and leave each edge, in order; some of a suffix lie ahead
+        entered: dict[int, list[int]] = defaultdict(list)
+        exited: dict[int, list[int]] = defaultdict(list)
+
+        def delay(e: int, now: int) -> int:
+            return traffic.delay(int(n.fft[e]), int(n.cap[e]), bisect_right(entered[e], now) - bisect_right(exited[e], now))
+
+        def ride(e: int, now: int, tt: int) -> int:
+            insort(entered[e], now)
+            insort(exited[e], now + tt)
+            return now + tt
+
         while queue:
             now, k = heapq.heappop(queue)
-            o, d, u, seen, path = state[k]
+            d, u, seen, path = state[k]
             if u == d:
                 done[k] = path
                 continue
@@ -47,80 +66,128 @@ def greedy_routes(trips: DataFrame, edges: DataFrame, traffic: TrafficOptions =
             choices = []
             for v, e, _ in out_edges.get(u, ()):
                 if v in left and v not in seen:
-                    ends = present[e]
-                    while ends and ends[0] <= now:
-                        heapq.heappop(ends)
-                    tt = traffic.delay(int(n.fft[e]), int(n.cap[e]), len(ends))
+                    tt = delay(e, now)
                     choices.append((left[v] >= left[u], now + tt + left[v], e, v, tt))
             if not choices:
-                rest = n.shortest(u, d)
-                nodes = [int(n.dst[e]) for e in rest]
-                done[k] = path + rest if not seen & set(nodes) else n.shortest(o, d)
+                done[k] = path + n.shortest(u, d)
+                for e in done[k][len(path) :]:
+                    now = ride(e, now, delay(e, now))
                 continue
             _, _, e, v, tt = min(choices)
-            heapq.heappush(present[e], now + tt)
-            state[k] = (o, d, v, seen | {v}, [*path, e])
-            heapq.heappush(queue, (now + tt, k))
+            state[k] = (d, v, seen | {v}, [*path, e])
+            heapq.heappush(queue, (ride(e, now, tt), k))
         return pd.DataFrame([(key[0], r.trip_id, r.depart, [int(n.edge_id[e]) for e in done[r.trip_id]]) for r in own.itertuples()], columns=["run_id", "trip_id", "depart", "edges"])
 
     return trips.groupBy("run_id").applyInPandas(work, ROUTE)
 
 
-def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 900, detour: int = 130, states: int = 20000) -> DataFrame:
-    """Trips in order of departure, each by the cheapest path within ``detour`` percent of its shortest, where a cell (edge, step) grows dearer with its volume.
+class Prices:
+    """What a cell (edge, time step) costs: exponential in its volume, at a scale that doubles when it proves too small."""
+
+    def __init__(self, net: Network, step: int, horizon: int):
+        self.net, self.step, self.volume = net, step, defaultdict(int)
+        self.cap = np.maximum(net.cap, 1).tolist()
+        self.flat = 2.0 * horizon * max(1, len(net.edge_id))
+        self.scale = min((1.0 / c for c in self.cap), default=1.0)
+
+    def cell(self, e: int, s: int) -> float:
+        power = self.volume.get((e, s), 0) * math.log1p(1 / (2 * self.scale * self.cap[e]))
+        return (math.exp(power) if power < 700 else math.inf) / (self.flat * self.cap[e])
+
+    def steps(self, e: int, now: int) -> range:
+        return range(now // self.step, (now + max(1, int(self.net.fft[e])) - 1) // self.step + 1)
+
+    def edge(self, e: int, now: int) -> float:
+        return sum(self.cell(e, s) for s in self.steps(e, now))
+
+    def over(self, e: int, s: int) -> bool:
+        return self.cell(e, s) > math.exp(0.5) / self.cap[e]
+
+    def route(self, path: list[int], now: int) -> float:
+        paid = 0.0
+        for e in path:
+            paid += self.edge(e, now)
+            now += int(self.net.fft[e])
+        return paid
+
+    def ride(self, path: list[int], now: int) -> bool:
+        """Raises the volumes; whether a cell then is over its bound."""
+        over = False
+        for e in path:
+            for s in self.steps(e, now):
+                self.volume[e, s] += 1
+                over |= self.over(e, s)
+            now += int(self.net.fft[e])
+        return over
+
+
+def cheapest_detour(net: Network, prices: Prices, left: dict[int, int], origin: int, destination: int, depart: int, limit: int, states: int) -> tuple[list[int], bool]:
+    """Branch and bound over simple paths of at most ``limit`` seconds: the least price, then the least time. Whether the budget of states ended it."""
+    lists = net.out()
+    best, found, path, seen, used = (math.inf, math.inf), None, [], {origin}, 1
+
+    def steps(u: int, now: int, spent: int, paid: float):
+        out = []
+        for v, e, w in lists.get(u, ()):
+            if v not in seen and v in left and spent + w + left[v] <= limit and (cost := paid + prices.edge(e, now)) <= best[0]:
+                out.append((cost, spent + w + left[v], e, v, spent + w))
+        return iter(sorted(out))
+
+    stack = [(steps(origin, depart, 0, 0.0), origin)]
+    while stack:
+        step = next(stack[-1][0], None)
+        if step is None:
+            _, u = stack.pop()
+            if stack:
+                seen.discard(u)
+                path.pop()
+            continue
+        cost, _, e, v, spent = step
+        if used >= states:
+            return found, True
+        used += 1
+        if v == destination:
+            if (cost, spent) < best:
+                best, found = (cost, spent), [*path, e]
+            continue
+        path.append(e)
+        seen.add(v)
+        stack.append((steps(v, depart + spent, spent, cost), v))
+    return found, False
+
+
+def priced_routes(trips: DataFrame, edges: DataFrame, step: int = 60, horizon: int = 10080, detour: int = 10, states: int = 20000) -> DataFrame:
+    """Trips in order of departure, each by the cheapest path that takes at most ``detour`` percent more than its shortest, where a cell (edge, step) grows
+    dearer with its volume.
 
-    Branch and bound within a budget of states; lambda doubles until the path's price is within it and no cell is over its bound. Where the budget ends
-    the last search, ``exhausted`` is true: the route is the best so far, or the plain shortest one, which then pays its own price.
+    The scale of prices begins at the least 1 / capacity, is kept from trip to trip, and doubles while a path costs more than it, or a cell that was filled is over
+    its bound. Where the budget of states ends a search, ``exhausted`` is true: the route is the best so far, or the plain shortest one.
     """
     net = _shared(edges)
 
     def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         n: Network = net.value
-        out_edges, volume = n.out(), defaultdict(int)
-        horizon = max(1, (int(own.depart.max()) - int(own.depart.min())) // step + 1)
-        size, lam = len(n.edge_id), 1.0
+        prices, pending = Prices(n, step, horizon), False
         remaining: dict[int, dict[int, int]] = {}
-        cells = lambda e, now: range(now // step, (now + max(1, int(n.fft[e])) - 1) // step + 1)
         out = []
         for r in own.sort_values(["depart", "trip_id"]).itertuples():
             o, d, start = int(r.origin), int(r.destination), int(r.depart)
             if d not in remaining:
                 remaining[d] = n.tree(d, backward=True)[0]
             left = remaining[d]
+            while pending and prices.scale < MOST_SCALE:
+                prices.scale *= 2
+                pending = any(prices.over(e, s) for e, s in prices.volume)
             if o == d or o not in left:
                 out.append((key[0], r.trip_id, r.depart, [], False))
                 continue
-            limit = left[o] * detour // 100
-            for _ in range(40):
-                price = lambda e, now: sum((1 + 1 / (2 * lam * int(n.cap[e]))) ** volume[e, s] / (2 * horizon * size * int(n.cap[e])) for s in cells(e, now))  # noqa: B023, E731
-                best, best_path, budget = float("inf"), None, states
-                stack = [(0.0, o, start, (o,), ())]
-                while stack and budget:
-                    budget -= 1
-                    cost, u, now, seen, path = stack.pop()
-                    if cost >= best:
-                        continue
-                    if u == d:
-                        best, best_path = cost, path
-                        continue
-                    steps = [(left[v], e, v) for v, e, _ in out_edges.get(u, ()) if v in left and v not in seen and now - start + int(n.fft[e]) + left[v] <= limit]
-                    for _, e, v in sorted(steps, reverse=True):  # the most promising is looked at first
-                        stack.append((cost + price(e, now), v, now + int(n.fft[e]), (*seen, v), (*path, e)))
-                exhausted = bool(stack)
-                path = list(best_path) if best_path is not None else n.shortest(o, d)
-                now, within, paid = start, True, 0.0
-                for e in path:
-                    paid += price(e, now)
-                    within &= all((volume[e, s] + 1) / (lam * int(n.cap[e])) <= 2.7182818 for s in cells(e, now))
-                    now += int(n.fft[e])
-                if paid <= lam and within:
+            while True:
+                path, exhausted = cheapest_detour(n, prices, left, o, d, start, left[o] * (100 + detour) // 100, states)
+                path = path or n.shortest(o, d)
+                if prices.route(path, start) <= prices.scale or prices.scale >= MOST_SCALE:
                     break
-                lam *= 2
-            now = start
-            for e in path:
-                for s in cells(e, now):
-                    volume[e, s] += 1
-                now += int(n.fft[e])
+                prices.scale *= 2
+            pending |= prices.ride(path, start)
             out.append((key[0], r.trip_id, r.depart, [int(n.edge_id[e]) for e in path], exhausted))
         return pd.DataFrame(out, columns=["run_id", "trip_id", "depart", "edges", "exhausted"])
 

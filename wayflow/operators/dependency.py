@@ -6,9 +6,9 @@ if it is still felt there. All of it is joins and windows on (run, edge, time),
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +90,21 @@ def propagated(base: list[int], children: list[list[int]], percent: int) -> list
     return value
 
 
+def pushed(base: list[int], up: list[set[int]], open_: list[int], percent: int) -> list[int]:
+    """The slot variant: from the leaves on every node gives its parents their shares, each rounded half up, saturating. open_: children each node waits for."""
+    value, open_ = list(base), list(open_)
+    ready = deque(i for i, n in enumerate(open_) if n == 0)
+    while ready:
+        i = ready.popleft()
+        for a in sorted(up[i]):
+            share = (2 * percent * value[i] + 100 * len(up[i])) // (200 * len(up[i]))
+            value[a] = min(value[a] + share, scalar.MAX_LONG)
+            open_[a] -= 1
+            if open_[a] == 0:
+                ready.append(a)
+    return value
+
+
 def impacts(nodes_: DataFrame, arcs: DataFrame, edges: DataFrame, options: AlgorithmOptions = AlgorithmOptions(), traffic: TrafficOptions = TrafficOptions()) -> DataFrame:
     """Nodes with base (own delay) and impact: base plus lambda percent of the children's, each divided by its number of parents; floors at each step.
 
@@ -98,7 +113,7 @@ def impacts(nodes_: DataFrame, arcs: DataFrame, edges: DataFrame, options: Algor
     """
     lam = options.lambda_percent
     rows = nodes_.join(edges.select("edge_id", "fft", "cap"), "edge_id").withColumn("base", traffic.column("fft", "cap", "flow"))
-    comp = cut(run_components(nodes_, arcs))
+    comp = cut(labels(nodes_, arcs))
     rows = rows.join(comp, KEY).select("run_id", "component", "edge_id", "time", "base")
     inner = arcs.join(comp.selectExpr("run_id", "edge_id as src_edge", "time as src_time", "component"), ["run_id", "src_edge", "src_time"])
 
@@ -119,9 +134,12 @@ def impacts(nodes_: DataFrame, arcs: DataFrame, edges: DataFrame, options: Algor
 
 def all_arcs(trajectories: DataFrame, nodes_: DataFrame, edges: DataFrame, traffic: TrafficOptions = TrafficOptions()) -> DataFrame:
     """Route arcs as they are and the same-edge arcs that no route arc repeats."""
-    along = route_arcs(trajectories)
+    return joined_arcs(route_arcs(trajectories), nodes_, edges, traffic)
+
+
+def joined_arcs(along: DataFrame, nodes_: DataFrame, edges: DataFrame, traffic: TrafficOptions = TrafficOptions()) -> DataFrame:
     felt = same_edge_arcs(nodes_, edges, traffic)
-    return along.unionByName(felt.join(along, felt.columns, "left_anti"))
+    return along.withColumn("kind", F.lit("route")).unionByName(felt.join(along, felt.columns, "left_anti").withColumn("kind", F.lit("edge")))
 
 
 def run_components(nodes_: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -150,6 +168,16 @@ def run_components(nodes_: DataFrame, arcs: DataFrame) -> DataFrame:
     return own.groupBy("run_id").cogroup(links.groupBy("run_id")).applyInPandas(work, "run_id bigint, edge_id int, time bigint, component string")
 
 
+#: Nodes of the largest run whose components are found by one union-find.
+RUN_NODES = 2_000_000
+
+
+def labels(nodes_: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Components by one union-find per run if every run, as counted, fits a task; by rounds of joins otherwise."""
+    most = nodes_.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    return run_components(nodes_, arcs) if most <= RUN_NODES else components(nodes_, arcs)
+
+
 def components(nodes_: DataFrame, arcs: DataFrame, rounds: int = 100) -> DataFrame:
     """run_id, edge_id, time, component: weak components by least labels, with pointer jumping, so that rounds grow with the logarithm of the depth."""
     name = lambda e, t: F.concat_ws(":", e, t)
@@ -266,53 +294,85 @@ def slot_impacts(slots: DataFrame, arcs: DataFrame, edges: DataFrame, options: A
         own = own.sort_values(["edge_id", "slot"])
         number = {k: i for i, k in enumerate(zip(own.edge_id, own.slot, strict=True))}
         up: list[set[int]] = [set() for _ in number]
-        out = np.zeros(len(number), int)
+        out = [0] * len(number)
         for se, ss, de, ds in zip(links.src_edge, links.src_slot, links.dst_edge, links.dst_slot, strict=True):
             a, b = number[se, ss], number[de, ds]
             if a not in up[b]:
                 up[b].add(a)
                 out[a] += 1
-        value = own.base.tolist()
-        ready = deque(np.flatnonzero(out == 0).tolist())
-        while ready:
-            i = ready.popleft()
-            for a in sorted(up[i]):
-                share = (2 * lam * value[i] + 100 * len(up[i])) // (200 * len(up[i]))
-                value[a] = min(value[a] + share, scalar.MAX_LONG)
-                out[a] -= 1
-                if out[a] == 0:
-                    ready.append(a)
+        value = pushed(own.base.tolist(), up, out, lam)
         return pd.DataFrame({"run_id": own.run_id, "edge_id": own.edge_id, "slot": own.slot, "impact": value})
 
     return fresh(rows).groupBy("run_id").cogroup(fresh(arcs).groupBy("run_id")).applyInPandas(work, "run_id bigint, edge_id int, slot bigint, impact bigint")
 
 
-def segment_windows(trajectories: DataFrame, width: int) -> DataFrame:
-    """Per trip its stays overlapping each window of ``width`` from the trip's start: the pieces compression chooses from."""
-    first = Window.partitionBy("run_id", "trip_id")
-    rows = trajectories.withColumn("start", F.min("enter").over(first))
-    lo, hi = F.floor((F.col("enter") - F.col("start")) / width), F.floor((F.greatest("exit", F.col("enter") + 1) - 1 - F.col("start")) / width)
-    return rows.withColumn("window", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint")))).drop("start")
+def loaded(nodes_: DataFrame, edges: DataFrame, percentile: int) -> DataFrame:
+    """Nodes whose load reaches the percentile of all loads of their run."""
+    rows = nodes_.join(edges.select("edge_id", "cap"), "edge_id").withColumn("ratio", scalar.ratio_key("flow", "cap"))
+    limit = order_statistic(rows, ["run_id"], "ratio", percentile, "theta")
+    return rows.join(F.broadcast(limit), "run_id").where("ratio >= theta").select(*KEY)
 
 
-def compressed_visits(trajectories: DataFrame, anchors_: DataFrame, options: AlgorithmOptions = AlgorithmOptions()) -> DataFrame:
-    """Trips reduced to their first entry, one representative per window (the earliest anchor on the way, else the earliest entry) and the last entry.
+def compressed_visits(trajectories: DataFrame, profile: DataFrame, anchors_: DataFrame, options: AlgorithmOptions = AlgorithmOptions()) -> DataFrame:
+    """run_id, trip_id, place, edge_id, time: trips reduced to their first entry, one representative per window of ``delta_compress`` seconds (the earliest anchor
+    on the way, else the earliest entry of anyone) and their last entry, without immediate repeats.
 
-    Anchors are those of the profile and stay as they are; representatives of one trip do not become anchors for the next.
+    What represents a trip is an anchor for the trips after it, so the trips of a run follow one another in one task; runs are the parallel axis.
     """
-    pieces = segment_windows(trajectories, options.delta_compress)
-    seen = timeline.interval_join(anchors_.select(*KEY), trajectories.select("run_id", "trip_id", "pos", "edge_id", "enter", "exit"), ["run_id", "edge_id"], "time", "enter", "exit")
-    start = trajectories.groupBy("run_id", "trip_id").agg(F.min("enter").alias("start"))
-    best = seen.join(start, ["run_id", "trip_id"]).withColumn("window", F.floor((F.col("time") - F.col("start")) / options.delta_compress))
-    best = best.groupBy("run_id", "trip_id", "window").agg(F.min(F.struct("time", "pos", "edge_id")).alias("a"))
-    raw = pieces.groupBy("run_id", "trip_id", "window").agg(F.min(F.struct(F.col("enter").alias("time"), "pos", "edge_id")).alias("r"))
-    chosen = raw.join(best, ["run_id", "trip_id", "window"], "left").withColumn("c", F.coalesce("a", "r")).select("run_id", "trip_id", "c.*")
-    ends = trajectories.groupBy("run_id", "trip_id").agg(F.min(F.struct(F.col("enter").alias("time"), "pos", "edge_id")).alias("a"), F.max(F.struct(F.col("enter").alias("time"), "pos", "edge_id")).alias("b"))
-    both = ends.select("run_id", "trip_id", F.explode(F.array("a", "b")).alias("c")).select("run_id", "trip_id", "c.*")
-    return chosen.unionByName(both).select("run_id", "trip_id", "time", "edge_id").distinct()
-
-
-def compressed_arcs(visits_: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run_id", "trip_id").orderBy("time", "edge_id")
-    rows = visits_.select("run_id", F.col("edge_id").alias("src_edge"), F.col("time").alias("src_time"), F.lead("edge_id").over(w).alias("dst_edge"), F.lead("time").over(w).alias("dst_time"))
+    width = options.delta_compress if options.delta_compress > 0 else options.delta_initial if options.delta_initial > 0 else max(1, options.min_slot_width)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("trip_id", "int"), ("pos", "int"), ("exit", "bigint"))]
+    marks = profile.where("is_entry").select(*KEY, F.lit(0).alias("kind")).unionByName(anchors_.select(*KEY, F.lit(1).alias("kind")))
+    stays = trajectories.select("run_id", "edge_id", F.col("enter").alias("time"), F.lit(2).alias("kind"), "trip_id", "pos", "exit")
+
+    def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        lists: list[dict[int, list[int]]] = [{}, {}]
+        for kind in (0, 1):
+            rows = own[own.kind == kind].sort_values(["edge_id", "time"])
+            for e, t in zip(rows.edge_id.tolist(), rows.time.tolist(), strict=True):
+                lists[kind].setdefault(e, []).append(t)
+        entries, marked = lists
+
+        def mark(e: int, t: int) -> tuple[int, int]:
+            known = marked.setdefault(e, [])
+            if (k := bisect_left(known, t)) == len(known) or known[k] != t:
+                known.insert(k, t)
+            return e, t
+
+        out = []
+        for trip, rows in own[own.kind == 2].sort_values(["trip_id", "pos"]).groupby("trip_id", sort=True):
+            e, enter, leave = rows.edge_id.tolist(), rows.time.tolist(), rows.exit.astype("int64").tolist()
+            first, last = enter[0], leave[-1]
+            route = [mark(e[0], first)]
+            best: dict[int, list] = {}
+            for x, a, b in zip(e, enter, leave, strict=True):
+                for w in range((a - first) // width, (b - 1 - first) // width + 1 if b > a else 0):
+                    lo, hi = max(a, first + w * width), min(b, first + (w + 1) * width, last)
+                    found = best.setdefault(w, [None, None])
+                    for kind, known in enumerate((marked, entries)):
+                        times = known.get(x, ())
+                        k = bisect_left(times, lo)
+                        if k < len(times) and times[k] < hi and (found[kind] is None or times[k] < found[kind][1]):
+                            found[kind] = (x, times[k])
+            for w in sorted(best):
+                if (chosen := best[w][0] or best[w][1]) is not None and mark(*chosen) != route[-1]:
+                    route.append(chosen)
+            if mark(e[-1], enter[-1]) != route[-1]:
+                route.append((e[-1], enter[-1]))
+            out += [(key[0], trip, k, x, t) for k, (x, t) in enumerate(route)]
+        return pd.DataFrame(out, columns=["run_id", "trip_id", "place", "edge_id", "time"])
+
+    rows = marks.select(*KEY, "kind", *none).unionByName(stays)
+    return rows.groupBy("run_id").applyInPandas(work, "run_id bigint, trip_id int, place int, edge_id int, time bigint")
+
+
+def compressed_nodes(reduced: DataFrame, profile: DataFrame) -> DataFrame:
+    """The nodes that represent trips, with the flow of the profile at their time."""
+    at = reduced.select(*KEY).distinct()
+    return at.join(profile.select(*KEY, "flow"), KEY).withColumn("original_flow", F.col("flow"))
+
+
+def compressed_arcs(reduced: DataFrame) -> DataFrame:
+    """Distinct arcs along the reduced trips, no loops."""
+    w = Window.partitionBy("run_id", "trip_id").orderBy("place")
+    rows = reduced.select("run_id", F.col("edge_id").alias("src_edge"), F.col("time").alias("src_time"), F.lead("edge_id").over(w).alias("dst_edge"), F.lead("time").over(w).alias("dst_time"))
     return rows.where("dst_edge is not null and (src_edge <> dst_edge or src_time <> dst_time)").distinct()

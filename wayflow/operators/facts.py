@@ -96,3 +96,27 @@ def tiered(rows: DataFrame, tiers: list[tuple[str, int]], item: str, score: str)
 
 def completeness(rows: DataFrame, keys: list[str], unit: str, expected: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.countDistinct(unit).alias("found"), F.count("*").alias("rows")).withColumn("complete", F.col("found") >= expected)
+
+
+def group_means(rows: DataFrame, keys: list[str], value: str, won: Column) -> DataFrame:
+    """Number, mean, median and largest of a value, and how often a row won."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 3).alias("mean"), F.round(F.median(value), 3).alias("median"), F.max(value).alias("most"), F.round(F.avg(F.when(won, 1.0).otherwise(0.0)), 6).alias("win_rate"))
+
+
+def to_group_mean(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Every row with its value in units of its group's mean."""
+    back = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    return rows.join(back, keys, "left").withColumn(out, F.col(value) / F.nullif("_mean", F.lit(0.0))).drop("_mean")
+
+
+def picked(rows: DataFrame, keys: list[str], parameter: str, score: str) -> DataFrame:
+    """The rows of each key at the parameter with which its score is least, the smaller parameter of equal ones."""
+    pick = rows.where(F.col(parameter).isNotNull()).groupBy(*keys).agg(F.min_by(parameter, F.struct(score, parameter)).alias(parameter))
+    return rows.join(pick, [*keys, parameter])
+
+
+def by_state(rows: DataFrame, keys: list[str], unit: str, expected: int) -> DataFrame:
+    """The keys with state 'complete' if they have so many units, else 'missing'."""
+    done = rows.groupBy(*keys).agg(F.countDistinct(unit).alias("n")).where(F.col("n") >= expected).select(*keys)
+    every = rows.select(*keys).distinct()
+    return every.join(done, keys, "left_anti").withColumn("state", F.lit("missing")).unionAll(every.join(done, keys, "left_semi").withColumn("state", F.lit("complete")))

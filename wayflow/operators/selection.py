@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,17 +17,31 @@ from pyspark.sql import functions as F
 
 from wayflow.functions import scalar
 from wayflow.model import TrafficOptions
-from wayflow.operators.dependency import KEY, order_statistic, propagated, route_arcs
+from wayflow.operators.dependency import KEY, loaded, order_statistic, pushed
+from wayflow.operators.live import Live
 from wayflow.session import fresh
 
 PICKED = "run_id bigint, trip_id int, place int"
 
 
 def route_scores(visits: DataFrame, scores: DataFrame, value: str, distinct: bool = True) -> DataFrame:
-    """run_id, trip_id, score: the sum over the nodes a trip visits, each once or as often as visited."""
+    """run_id, trip_id, score: the sum over the nodes a trip visits, each once or as often as visited. Sums of whole numbers saturate at the cap of impacts."""
     rows = visits.select("run_id", "trip_id", "edge_id", "time")
     rows = (rows.distinct() if distinct else rows).join(scores.select(*KEY, value), KEY)
-    return rows.groupBy("run_id", "trip_id").agg(F.sum(value).alias("score"))
+    if scores.schema[value].dataType.typeName() != "long":
+        return rows.groupBy("run_id", "trip_id").agg(F.sum(value).alias("score"))
+    total = F.least(F.sum(F.greatest(F.col(value), F.lit(0)).cast("decimal(38,0)")), F.lit(scalar.IMPACT_CAP).cast("decimal(38,0)"))
+    return rows.groupBy("run_id", "trip_id").agg(total.cast("bigint").alias("score"))
+
+
+def mean_scores(rows: DataFrame, value: str) -> DataFrame:
+    return rows.groupBy("run_id", "trip_id").agg(F.avg(value).alias("score"))
+
+
+def top_share(rows: DataFrame, keys: list[str], mass: str, item: str, k: int) -> DataFrame:
+    """Share of the mass that the k largest hold."""
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(mass), item)))
+    return ranked.groupBy(*keys).agg((F.sum(F.when(F.col("_k") <= k, F.col(mass))) / F.nullif(F.sum(mass), F.lit(0.0))).alias("share"))
 
 
 def prefix_cover(rows: DataFrame, keys: list[str], score: str, item: str, percent: Column | int) -> DataFrame:
@@ -138,62 +153,63 @@ def component_marginal(visits: DataFrame, relief: DataFrame, labels: DataFrame,
     return share.groupBy("run_id").applyInPandas(work, PICKED)
 
 
-def by_flow_floor(visits: DataFrame, nodes: DataFrame, trajectories: DataFrame, edges: DataFrame, gamma: int, watched: DataFrame | None = None, lambda_percent: int = 45, roads: TrafficOptions = TrafficOptions()) -> DataFrame:
-    """Trips by falling sum of impacts, each taken if every (watched) node it visits keeps (100 - gamma) percent of its flow. A round ends after more than
-    sqrt(n) refusals in a row; the next ranks the trips left by the impacts of the traffic that remains, until a round takes none.
+def flow_floor(original: list[int], gamma: int) -> list[int]:
+    """What a node must keep: (100 - gamma) percent of its first flow, rounded down."""
+    return [(100 - gamma) * f // 100 for f in original]
 
-    A node without flow loses its arcs; same-edge arcs hold while the delay at the remaining flow reaches the next node. Trajectories give the route arcs.
+
+def in_rounds(left: set, worth, stays: dict, may, take, mean: bool = False):
+    """Items by falling worth of their nodes, each taken if it may be; a round ends after more than sqrt(n) refusals in a row, the last is the one that takes none.
+
+    mean: the worth of an item is the mean over its nodes, and items worth nothing are left out.
+    """
+    while left:
+        value = worth()
+        score = {t: sum(value[i] for i in stays[t]) for t in left}
+        if mean:
+            score = {t: s / len(stays[t]) for t, s in score.items() if s > 0}
+        ranked = sorted((-s, t) for t, s in score.items())
+        refused, patience, size = 0, math.isqrt(len(ranked)), len(left)
+        for _, t in ranked:
+            if may(t):
+                take(t)
+                left.discard(t)
+                refused = 0
+                yield t
+            else:
+                refused += 1
+                if refused > patience:
+                    break
+        if len(left) == size:
+            break
+
+
+def by_flow_floor(visits: DataFrame, nodes: DataFrame, arcs: DataFrame, edges: DataFrame, gamma: int, watched: DataFrame | None = None, lambda_percent: int = 45, roads: TrafficOptions = TrafficOptions()) -> DataFrame:
+    """Trips by falling sum of impacts, each taken if every (watched) node it visits keeps (100 - gamma) percent of its flow, rounded down. A trip that is taken
+    leaves the graph; a round ends after more than sqrt(n) refusals in a row; the next ranks the trips left by the impacts of the traffic that remains, until
+    a round takes none. Of the arcs those along trips are read; the others follow from the flows.
     """
     mark = F.lit(True) if watched is None else F.coalesce("watched", F.lit(False))
     marked = nodes.select(*KEY) if watched is None else nodes.select(*KEY).join(fresh(watched.select(*KEY)).withColumn("watched", F.lit(True)), KEY, "left")
     on = visits.select("run_id", "trip_id", "edge_id", "time").join(marked, KEY)
     rows = on.groupBy("run_id", "trip_id").agg(F.collect_list(F.struct("edge_id", "time", mark.alias("watched"))).alias("nodes"))
     own = nodes.join(edges.select("edge_id", "fft", "cap"), "edge_id").selectExpr(*KEY, "false as arc", "cast(flow as bigint) as flow", "cast(original_flow as bigint) as original_flow", "fft", "cap", "0 as to_edge", "0L as to_time")
-    zero = [F.lit(0).cast("bigint").alias(c) for c in ("flow", "original_flow", "fft")]
-    along = route_arcs(trajectories).select("run_id", F.col("src_edge").alias("edge_id"), F.col("src_time").alias("time"), F.lit(True).alias("arc"), *zero, F.lit(0).alias("cap"), F.col("dst_edge").alias("to_edge"), F.col("dst_time").alias("to_time"))
+    along = arcs.where("kind = 'route'").selectExpr("run_id", "src_edge as edge_id", "src_time as time", "true as arc", "0L as flow", "0L as original_flow", "0L as fft", "0 as cap", "dst_edge as to_edge", "dst_time as to_time")
 
     def work(key: tuple, trips: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         at = graph[~graph.arc].sort_values(["edge_id", "time"])
-        place, time, edge = {k: i for i, k in enumerate(zip(at.edge_id, at.time, strict=True))}, at.time.tolist(), at.edge_id.tolist()
-        flow, first, fft, cap = at.flow.tolist(), at.original_flow.tolist(), at.fft.tolist(), at.cap.tolist()
+        place = {k: i for i, k in enumerate(zip(at.edge_id, at.time, strict=True))}
         links = graph[graph.arc]
         ends = ((place.get((a, s)), place.get((b, t))) for a, s, b, t in zip(links.edge_id, links.time, links.to_edge, links.to_time, strict=True))
-        routes = [(a, b) for a, b in ends if a is not None and b is not None]
-        stays, floors = {}, {}
+        live = Live(at.edge_id.tolist(), at.time.tolist(), at.flow.tolist(), at.fft.tolist(), at.cap.tolist(), [(a, b) for a, b in ends if a is not None and b is not None], roads)
+        stays, watch = {}, {}
         for t, ns in zip(trips.trip_id, trips.nodes, strict=True):
             stays[t] = [place[x["edge_id"], x["time"]] for x in ns]
-            floors[t] = {place[x["edge_id"], x["time"]] for x in ns if x["watched"]}
-
-        def worth() -> list[int]:
-            base = [roads.delay(*x) for x in zip(fft, cap, flow, strict=True)]
-            children: list[list[int]] = [[] for _ in base]
-            for a, b in routes:
-                if flow[a] > 0 and flow[b] > 0:
-                    children[a].append(b)
-            before = None
-            for i, f in enumerate(flow):
-                if f > 0:
-                    if before is not None and edge[before] == edge[i] and time[before] + base[before] > time[i] and i not in children[before]:
-                        children[before].append(i)
-                    before = i
-            return propagated(base, children, lambda_percent)
-
-        out, left = [], set(stays)
-        while left:
-            impact, refused, patience, size = worth(), 0, math.isqrt(len(left)), len(out)
-            for _, t in sorted((-sum(impact[i] for i in stays[t]), t) for t in left):
-                if all((flow[i] - 1) * 100 >= (100 - gamma) * first[i] for i in floors[t]):
-                    out.append((key[0], t, len(out)))
-                    left.discard(t)
-                    refused = 0
-                    for i in set(stays[t]):
-                        flow[i] = max(0, flow[i] - 1)
-                else:
-                    refused += 1
-                    if refused > patience:
-                        break
-            if len(out) == size:
-                break
+            watch[t] = {place[x["edge_id"], x["time"]] for x in ns if x["watched"]}
+        least = flow_floor(at.original_flow.tolist(), gamma)
+        out = []
+        for t in in_rounds(set(stays), lambda: live.impacts(lambda_percent), stays, lambda t: all(live.flow[i] - 1 >= least[i] for i in watch[t]), lambda t: live.remove(list(dict.fromkeys(stays[t])))):
+            out.append((key[0], t, len(out)))
         return pd.DataFrame(out, columns=["run_id", "trip_id", "place"])
 
     return fresh(rows).groupBy("run_id").cogroup(fresh(own.unionByName(along)).groupBy("run_id")).applyInPandas(work, PICKED)
@@ -240,30 +256,37 @@ def by_bpr_relief(visits: DataFrame, relief: DataFrame, gamma: int) -> DataFrame
 def batches(selected: DataFrame, visits: DataFrame, nodes: DataFrame, edges: DataFrame, percentile: int, conflict: int) -> DataFrame:
     """run_id, trip_id, batch: trips that share few loaded nodes travel together.
 
-    Largest sketch first, each to the smallest batch it does not meet, else to the one it meets least, unless that is over ``conflict`` percent of its sketch.
+    Largest sketch first, each to the smallest batch it does not meet, else to the one it meets least, unless that is over ``conflict`` percent of its sketch. How
+    much it meets a batch is the number of the batch's trips on each node of the sketch, summed.
     """
-    rows = nodes.join(edges.select("edge_id", "cap"), "edge_id").withColumn("ratio", scalar.ratio_key("flow", "cap"))
-    limit = order_statistic(rows, ["run_id"], "ratio", percentile, "theta")
-    hot = rows.join(F.broadcast(limit), "run_id").where("ratio >= theta").select(*KEY)
+    hot = loaded(nodes, edges, percentile)
     sketch = visits.join(hot, KEY, "left_semi").groupBy("run_id", "trip_id").agg(F.collect_set(F.struct("edge_id", "time")).alias("sketch"))
     rows = selected.select("run_id", "trip_id").distinct().join(sketch, ["run_id", "trip_id"], "left")
 
     def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.assign(sketch=[{(x["edge_id"], x["time"]) for x in s} if s is not None else set() for s in own.sketch])
         own = own.assign(size=own.sketch.map(len)).sort_values(["size", "trip_id"], ascending=[False, True])
-        held, members, out = [], [], []
+        load: list[Counter] = []  # trips of a batch that hold each node
+        batches_of: dict[tuple, list[int]] = defaultdict(list)
+        members, out = [], []
         for t, s in zip(own.trip_id, own.sketch, strict=True):
-            meets = [len(s & h) for h in held]
-            free = [(members[b], b) for b, m in enumerate(meets) if m == 0]
-            if free:
-                b = min(free)[1]
-            elif meets and (least := min((m, members[b], b) for b, m in enumerate(meets)))[0] <= conflict * len(s) // 100:
+            meets = Counter()
+            for x in s:
+                for b in batches_of[x]:
+                    meets[b] += load[b][x]
+            free = min(((m, b) for b, m in enumerate(members) if b not in meets), default=None)
+            if free is not None:
+                b = free[1]
+            elif meets and (least := min((m, members[b], b) for b, m in meets.items()))[0] <= conflict * len(s) // 100:
                 b = least[2]
             else:
-                held.append(set())
+                b = len(members)
+                load.append(Counter())
                 members.append(0)
-                b = len(held) - 1
-            held[b] |= s
+            for x in s:
+                if not load[b][x]:
+                    batches_of[x].append(b)
+                load[b][x] += 1
             members[b] += 1
             out.append((key[0], t, b))
         return pd.DataFrame(out, columns=["run_id", "trip_id", "batch"])
@@ -294,7 +317,7 @@ def slot_candidates(slots: DataFrame, arcs: DataFrame, trajectories: DataFrame,
 
 def slot_scores(trajectories: DataFrame, impacts: DataFrame, width: int) -> DataFrame:
     """Mean impact of the slots a trip enters."""
-    return trajectories.withColumn("slot", scalar.slot_of("enter", width)).join(impacts, ["run_id", "edge_id", "slot"]).groupBy("run_id", "trip_id").agg(F.avg("impact").alias("score"))
+    return trajectories.withColumn("slot", scalar.slot_of("enter", width)).join(impacts, ["run_id", "edge_id", "slot"]).transform(mean_scores, "impact")
 
 
 def slot_visits(trajectories: DataFrame, slots: DataFrame, width: int) -> DataFrame:
@@ -303,34 +326,77 @@ def slot_visits(trajectories: DataFrame, slots: DataFrame, width: int) -> DataFr
     return trajectories.select("run_id", "trip_id", "edge_id", F.explode(F.sequence(lo, hi)).alias("slot")).join(slots, ["run_id", "edge_id", "slot"]).distinct()
 
 
-def slot_select(trajectories: DataFrame, slots: DataFrame, impacts: DataFrame, candidates: DataFrame, width: int, gamma: int) -> DataFrame:
-    """Candidates by mean impact, each taken if every slot it touches keeps (100 - gamma) percent of its flow."""
-    on = slot_visits(trajectories, slots, width).join(candidates, ["run_id", "trip_id"], "left_semi")
-    on = on.select("run_id", "trip_id", "edge_id", F.col("slot").alias("time"), "flow", F.col("flow").alias("original_flow"))
-    scored = slot_scores(trajectories, impacts, width).join(candidates, ["run_id", "trip_id"], "left_semi")
-    each = on.select("run_id", "trip_id", "edge_id", "time").join(scored, ["run_id", "trip_id"])
-    # the score is carried by one node per trip, so that its sum is the score
-    first = each.groupBy("run_id", "trip_id").agg(F.min(F.struct("edge_id", "time", "score")).alias("f"))
-    ranked = first.select("run_id", "trip_id", "f.score")
-    nodes = on.select("run_id", "edge_id", "time", "flow", "original_flow").distinct()
-    return _floor_ranked(ranked, on, nodes, gamma)
+def slot_select(trajectories: DataFrame, slots: DataFrame, arcs: DataFrame, candidates: DataFrame, edges: DataFrame, width: int, gamma: int, lambda_percent: int = 45, roads: TrafficOptions = TrafficOptions()) -> DataFrame:
+    """Candidates by the mean impact of the slots they enter, each taken if every slot it touches keeps (100 - gamma) percent of its flow, rounded down; in rounds.
 
+    A slot left without flow goes with its arcs, and its neighbours on the edge are linked if the earlier one's delay reaches the later one's time. Candidates
+    without a slot or of no worth are never taken.
+    """
+    touched = slot_visits(trajectories, slots, width).join(candidates, ["run_id", "trip_id"], "left_semi").groupBy("run_id", "trip_id").agg(F.collect_set(F.struct("edge_id", "slot")).alias("touched"))
+    entered = trajectories.join(candidates, ["run_id", "trip_id"], "left_semi").groupBy("run_id", "trip_id").agg(F.collect_list(F.struct("edge_id", scalar.slot_of("enter", width).alias("slot"))).alias("entered"))
+    own = slots.join(edges.select("edge_id", "fft", "cap"), "edge_id").selectExpr("run_id", "edge_id", "slot", "time", "cast(flow as bigint) as flow", "fft", "cap", "cast(null as int) as to_edge", "cast(null as bigint) as to_slot")
+    links = arcs.selectExpr("run_id", "src_edge as edge_id", "src_slot as slot", "0L as time", "0L as flow", "0L as fft", "0 as cap", "dst_edge as to_edge", "dst_slot as to_slot")
 
-def _floor_ranked(ranked: DataFrame, on: DataFrame, nodes: DataFrame, gamma: int) -> DataFrame:
-    rows = ranked.join(on.groupBy("run_id", "trip_id").agg(F.collect_set(F.struct("edge_id", "time", "flow")).alias("nodes")), ["run_id", "trip_id"])
+    def work(key: tuple, trips: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        at = graph[graph.to_edge.isna()].sort_values(["edge_id", "slot"])
+        place = {k: i for i, k in enumerate(zip(at.edge_id, at.slot, strict=True))}
+        flow, time, edge = at.flow.tolist(), at.time.tolist(), at.edge_id.tolist()
+        fft, cap = at.fft.tolist(), at.cap.tolist()
+        delay = lambda i: roads.delay(fft[i], cap[i], flow[i])
+        some = graph[graph.to_edge.notna()]
+        up: list[set[int]] = [set() for _ in flow]
+        down: list[set[int]] = [set() for _ in flow]
+        for a, s, b, t in zip(some.edge_id, some.slot, some.to_edge.astype(int), some.to_slot.astype(int), strict=True):
+            down[place[a, s]].add(place[b, t])
+            up[place[b, t]].add(place[a, s])
+        line = defaultdict(list)
+        for i, e in enumerate(edge):
+            line[e].append(i)
+        alive = [True] * len(flow)
+        stays = {t: [place[x["edge_id"], x["slot"]] for x in xs if (x["edge_id"], x["slot"]) in place] for t, xs in zip(trips.trip_id, trips.entered, strict=True)}
+        reach = {t: [place[x["edge_id"], x["slot"]] for x in xs] if xs is not None else [] for t, xs in zip(trips.trip_id, trips.touched, strict=True)}
+        least = flow_floor(flow, min(100, max(0, gamma)))
 
-    def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        left: dict[tuple, int] = {}
-        out = []
-        for t, at in zip(*(own.sort_values(["score", "trip_id"], ascending=[False, True])[c] for c in ("trip_id", "nodes")), strict=True):
-            stay = [(x["edge_id"], x["time"], x["flow"]) for x in at]
-            if all((left.setdefault((e, s), f) - 1) * 100 >= (100 - gamma) * f for e, s, f in stay):
-                out.append((key[0], t, len(out)))
-                for e, s, _ in stay:
-                    left[e, s] -= 1
+        def worth() -> list[int]:
+            return pushed([delay(i) if alive[i] else 0 for i in range(len(flow))], up, [len(d) for d in down], lambda_percent)
+
+        def may(t) -> bool:
+            on = [i for i in reach[t] if alive[i]]
+            return bool(on) and all(flow[i] > 0 and flow[i] - 1 >= least[i] for i in on)
+
+        def take(t) -> None:
+            on = sorted(i for i in reach[t] if alive[i])
+            for i in on:
+                flow[i] -= 1
+            for i in (i for i in on if flow[i] == 0):
+                own = line[edge[i]]
+                k = bisect_left(own, i)
+                before, after = own[k - 1] if k else None, own[k + 1] if k + 1 < len(own) else None
+                for a in up[i]:
+                    down[a].discard(i)
+                for b in down[i]:
+                    up[b].discard(i)
+                up[i], down[i], alive[i] = set(), set(), False
+                if before is not None and after is not None and time[before] + delay(before) >= time[after]:
+                    down[before].add(after)
+                    up[after].add(before)
+                own.pop(k)
+
+        # a slot that is gone counts neither for the sum nor for the number
+        living = _Living(stays, alive)
+        out = [(key[0], t, k) for k, t in enumerate(in_rounds(set(stays), worth, living, may, take, True))]
         return pd.DataFrame(out, columns=["run_id", "trip_id", "place"])
 
-    return rows.groupBy("run_id").applyInPandas(work, PICKED)
+    rows = entered.join(touched, ["run_id", "trip_id"], "left")
+    return fresh(rows).groupBy("run_id").cogroup(fresh(own.unionByName(links)).groupBy("run_id")).applyInPandas(work, PICKED)
+
+
+class _Living:
+    def __init__(self, stays: dict, alive: list[bool]):
+        self.stays, self.alive = stays, alive
+
+    def __getitem__(self, t) -> list[int]:
+        return [i for i in self.stays[t] if self.alive[i]]
 
 
 def candidates(name: str, *, trips: DataFrame, visits: DataFrame, nodes: DataFrame, arcs: DataFrame, edges: DataFrame, relief: DataFrame, options) -> DataFrame:

@@ -157,6 +157,13 @@ def bucketed(trajectories: DataFrame, step: int, keys: list[str] | None = None)
     return trajectories.select(*keys, F.explode(buckets("enter", "exit", step)).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("flow"))
 
 
+def vertex_flow(flows: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, kind, flow: the flow of the edges that leave a node (kind 0) and that reach it (kind 1)."""
+    own = flows.groupBy("edge_id").agg(F.sum("flow").alias("flow")).join(edges.select("edge_id", "src", "dst"), "edge_id")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).cast("bigint").alias("kind")), F.struct(F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("kind"))))
+    return own.select(ends.alias("end"), "flow").groupBy("end.node", "end.kind").agg(F.sum("flow").alias("flow"))
+
+
 def free_flow_schedule(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """Trajectories as they would be on empty roads."""
     steps = routes.select("run_id", "trip_id", "depart", F.size("edges").alias("n"), F.posexplode("edges").alias("pos", "edge_id")).join(edges.select("edge_id", "fft"), "edge_id")

@@ -12,7 +12,7 @@ from wayflow.model import AlgorithmOptions, TrafficOptions
 from wayflow.operators import baselines, demand, dependency, facts, nearby, paths, reroute, selection, timeline, traffic
 from wayflow.plans import embedding as em
 from wayflow.plans import loops
-from wayflow.session import cut, table
+from wayflow.session import cut, fresh, table
 from wayflow.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,7 +88,7 @@ def f_names(spark, sf_dir):
     p = scalar.dataset_parts("dataset")
     return table(spark, sf_dir, "ablation_facts").select(
         "fact_id", scalar.dataset_group("dataset").alias("family"), p["hop"].alias("hop2"), p["rep"].alias("rep2"), p["seed"].alias("seed2"),
-        F.round(scalar.safe_ratio(F.col("total_before") - F.col("total_after"), "total_before"), 6).alias("reduction_percent"), F.round(F.col("reroute_sec") / F.greatest("batch_count", F.lit(1)), 6).alias("per_batch"),
+        F.round(scalar.safe_ratio(F.col("total_before") - F.col("total_after"), "total_before"), 6).alias("reduction_percent"), F.round(scalar.per("reroute_sec", "batch_count"), 6).alias("per_batch"),
     )
 
 
@@ -97,7 +97,7 @@ select run_id, round(case when hi > lo then (method_total_sec - lo) / (hi - lo)
 case removal_mode when 'none' then 0 when 'remove' then 1 else 2 end as mode_rank, total_after from f join s using (hop)""")
 def f_scaled(spark, sf_dir):
     rows = facts.scaled(em.facts(spark, sf_dir), ["hop"], "method_total_sec", "scaled")
-    rank = F.when(F.col("removal_mode") == "none", 0).when(F.col("removal_mode") == "remove", 1).otherwise(2)
+    rank = scalar.place_of("removal_mode", ["none", "remove"])
     return rows.select("run_id", F.round("scaled", 6).alias("scaled"), F.round(scalar.interpolated("query_count", [(1024, 1.0), (4096, 4.0), (20000, 10.0)]), 6).alias("cost"), rank.alias("mode_rank"), "total_after")
 
 
@@ -190,9 +190,7 @@ def a_buckets(spark, sf_dir):
 
 @query(f"with {em.STAYS_SQL}, b as (select edge_id, unnest(range(enter // 600, (greatest(exit, enter + 1) - 1) // 600 + 1)) as b from stays) select e.src as node, cast(0 as bigint) as kind, count(*) as flow from b join edges e using (edge_id) group by 1 union all select e.dst, 1, count(*) from b join edges e using (edge_id) group by 1")
 def a_vertex_flow(spark, sf_dir):
-    own = traffic.bucketed(em.stays(spark, sf_dir), 600).groupBy("edge_id").agg(F.sum("flow").alias("flow")).join(em.edges(spark, sf_dir), "edge_id")
-    parts = [own.groupBy(F.col(c).alias("node")).agg(F.sum("flow").alias("flow")).select("node", F.lit(k).cast("bigint").alias("kind"), "flow") for k, c in enumerate(("src", "dst"))]
-    return parts[0].unionAll(parts[1])
+    return traffic.vertex_flow(traffic.bucketed(em.stays(spark, sf_dir), 600), em.edges(spark, sf_dir))
 
 
 @query(f"""with {em.PROFILE_SQL}, s as (select run_id, edge_id, case when time <= 0 then 0 else time // 600 end as slot, time, flow from profile)
@@ -265,8 +263,11 @@ _OVER = ", rel as (select n.run_id, n.edge_id, n.time, case when flow > cap then
 
 
 def _relief(spark, sf_dir):
-    rows = em.nodes(spark, sf_dir).join(em.edges(spark, sf_dir), "edge_id")
-    return rows.select("run_id", "edge_id", "time", F.round(scalar.excess("flow", "cap"), 9).alias("relief")).where("relief > 0")
+    """Relief of a run without anchors, every impact being 1: the excess of what is over capacity."""
+    nodes = em.nodes(spark, sf_dir)
+    ones = nodes.select("run_id", "edge_id", "time", F.lit(1.0).alias("impact_norm"))
+    none = nodes.limit(0).select("run_id", "edge_id", "time", F.lit(0).alias("score"))
+    return dependency.relief(nodes, fresh(ones), fresh(none), em.edges(spark, sf_dir)).withColumn("relief", F.round("relief", 9))
 
 
 def _on(spark, sf_dir):
@@ -301,7 +302,7 @@ def a_mass_cover(spark, sf_dir):
 
 @query(f"with {em.STAYS_SQL}, a as (select run_id, trip_id, avg(flow) as score from stays group by 1, 2) select run_id, trip_id, round(score, 6) as score from a")
 def a_mean_scores(spark, sf_dir):
-    return em.stays(spark, sf_dir).groupBy("run_id", "trip_id").agg(F.round(F.avg("flow"), 6).alias("score"))
+    return selection.mean_scores(em.stays(spark, sf_dir), "flow").withColumn("score", F.round("score", 6))
 
 
 # ---- demand ----
@@ -396,8 +397,7 @@ def q_random(spark, sf_dir):
 
 @query(f"with {em.FACTS_SQL} select selection_method, gamma, count(*) as n, round(avg(reduction), 3) as mean, round(median(reduction), 3) as median, max(reduction) as most, round(avg(case when total_after < total_before then 1.0 else 0.0 end), 6) as win_rate from f group by 1, 2")
 def a_group_means(spark, sf_dir):
-    win = F.avg(F.when(F.col("total_after") < F.col("total_before"), 1.0).otherwise(0.0))
-    return em.facts(spark, sf_dir).groupBy("selection_method", "gamma").agg(F.count("*").alias("n"), F.round(F.avg("reduction"), 3).alias("mean"), F.round(F.median("reduction"), 3).alias("median"), F.max("reduction").alias("most"), F.round(win, 6).alias("win_rate"))
+    return facts.group_means(em.facts(spark, sf_dir), ["selection_method", "gamma"], "reduction", F.col("total_after") < F.col("total_before"))
 
 
 @query(f"with {em.FACTS_SQL}, r as (select *, row_number() over (partition by dataset order by total_after, iteration, run_id, random_seed) as k from f) select dataset, total_after, iteration, run_id from r where k = 1")
@@ -477,23 +477,19 @@ def j_slowdown(spark, sf_dir):
 @query(f"with {em.FACTS_SQL}, g as (select hop, avg(total_after) as mean from f group by 1) select run_id, dataset, total_after, round(total_after / nullif(mean, 0), 6) as to_mean from f left join g using (hop)")
 def j_added_back(spark, sf_dir):
     f = em.facts(spark, sf_dir)
-    back = f.groupBy("hop").agg(F.avg("total_after").alias("mean"))
-    return f.join(back, "hop", "left").select("run_id", "dataset", "total_after", F.round(F.col("total_after") / F.nullif("mean", F.lit(0.0)), 6).alias("to_mean"))
+    return facts.to_group_mean(f, ["hop"], "total_after", "to_mean").select("run_id", "dataset", "total_after", F.round("to_mean", 6).alias("to_mean"))
 
 
 @query(f"with {em.FACTS_SQL}, g as (select hop, seed, arg_min(gamma, (total_after, gamma)) as gamma from f where gamma is not null group by 1, 2) select f.run_id, f.hop, f.seed, f.gamma, f.total_after from f join g using (hop, seed, gamma)")
 def j_picks(spark, sf_dir):
     f = em.facts(spark, sf_dir)
-    pick = f.where("gamma is not null").groupBy("hop", "seed").agg(F.min_by("gamma", F.struct("total_after", "gamma")).alias("gamma"))
-    return f.join(pick, ["hop", "seed", "gamma"]).select("run_id", "hop", "seed", "gamma", "total_after")
+    return facts.picked(f, ["hop", "seed"], "gamma", "total_after").select("run_id", "hop", "seed", "gamma", "total_after")
 
 
 @query(f"with {em.FACTS_SQL}, done as (select hop, seed from f group by 1, 2 having count(distinct iteration) >= 3) select distinct hop, seed, 'missing' as state from f anti join done using (hop, seed) union all select distinct hop, seed, 'complete' from f semi join done using (hop, seed)")
 def j_anti_semi(spark, sf_dir):
     f = em.facts(spark, sf_dir).select("hop", "seed", "iteration")
-    done = f.groupBy("hop", "seed").agg(F.countDistinct("iteration").alias("n")).where("n >= 3").select("hop", "seed")
-    keys = f.select("hop", "seed").distinct()
-    return keys.join(done, ["hop", "seed"], "left_anti").withColumn("state", F.lit("missing")).unionAll(keys.join(done, ["hop", "seed"], "left_semi").withColumn("state", F.lit("complete")))
+    return facts.by_state(f, ["hop", "seed"], "iteration", 3)
 
 
 @query(f"""with {em.FACTS_SQL}, d as (select dataset, max(reduction) as score, max(query_count) as size from f group by 1), a as (select *, 0 as tier from d where size >= 10000 order by score desc, dataset limit 10),
@@ -602,18 +598,11 @@ def t_simulated_by_rounds(spark, sf_dir):
     return traffic.simulate_by_rounds(cut(loops.initial_routes(edges, em.trips(spark, sf_dir))), edges)
 
 
-_GRAPHS: dict[tuple[str, str], tuple] = {}
-
-
-def _graph(spark, sf_dir):
-    """Edges, trips and the graph of their traffic; one application builds it once per folder, on checkpoints that the queries below share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _GRAPHS:
-        edges, trips = em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir)
-        now = cut(traffic.simulate(loops.initial_routes(edges, trips), edges))
-        _GRAPHS.clear()
-        _GRAPHS[key] = (edges, trips, loops.graph_of(now, edges, AlgorithmOptions(), TrafficOptions()))
-    return _GRAPHS[key]
+def _graph(spark, sf_dir, compressed=False):
+    """Edges, trips and the graph of their traffic, built anew for every query."""
+    edges, trips = em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir)
+    now = cut(traffic.simulate(loops.initial_routes(edges, trips), edges))
+    return edges, trips, loops.graph_of(now, edges, AlgorithmOptions(), TrafficOptions(), compressed)
 
 
 @query()
@@ -636,7 +625,18 @@ def t_components(spark, sf_dir):
 @query()
 def t_compressed(spark, sf_dir):
     _, _, g = _graph(spark, sf_dir)
-    return dependency.compressed_visits(g.trajectories, g.anchors)
+    return dependency.compressed_visits(g.trajectories, g.profile, g.anchors)
+
+
+@query()
+def t_compressed_graph(spark, sf_dir):
+    """Size of the compressed graph beside the fine one."""
+    edges, _, g = _graph(spark, sf_dir)
+    reduced = cut(dependency.compressed_visits(g.trajectories, g.profile, g.anchors))
+    nodes = cut(dependency.compressed_nodes(reduced, g.profile))
+    arcs = dependency.joined_arcs(dependency.compressed_arcs(reduced), nodes, edges)
+    fine = dependency.stats(g.nodes, g.arcs, edges).select("run_id", F.col("nodes").alias("fine_nodes"), F.col("arcs").alias("fine_arcs"))
+    return dependency.stats(nodes, arcs, edges).join(fine, "run_id").withColumn("ratio", F.round(F.col("fine_nodes") / F.col("nodes"), 2))
 
 
 @query()
@@ -666,7 +666,7 @@ def _selected(name: str):
     return run
 
 
-for _name in ("tdg", "tdg_anchor", "tdg_excess_relief", "tdg_bpr_relief", "most_delayed"):
+for _name in ("tdg", "tdg_anchor", "tdg_congestion", "tdg_excess_relief", "tdg_bpr_relief", "most_delayed"):
     QUERIES[f"q_{_name}"] = _selected(_name)
 
 
@@ -683,7 +683,7 @@ def q_slot_select(spark, sf_dir):
     slots = cut(dependency.slot_nodes(g.profile, 600))
     arcs = cut(dependency.slot_arcs(g.trajectories, slots, edges, 600))
     pool = selection.slot_candidates(slots, arcs, g.trajectories, edges, 600, 90)
-    return selection.slot_select(g.trajectories, slots, dependency.slot_impacts(slots, arcs, edges), pool, 600, 50)
+    return selection.slot_select(g.trajectories, slots, arcs, pool, edges, 600, 50)
 
 
 @query()
@@ -703,6 +703,14 @@ for _name in loops.LOOPS:
     QUERIES[f"r_{_name}"] = _loop(_name)
 
 
+@query()
+def k_ablation(spark, sf_dir):
+    """Ablation facts of a loop, without the columns that hold seconds, which differ from time to time."""
+    done = loops.run_named("baseline", em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir), AlgorithmOptions(max_iterations=2))
+    rows = writers.shaped(done.facts().withColumn("run_id", F.concat(F.lit("run"), F.col("run_id").cast("string"))), "ablation")
+    return rows.drop(*(c for c in rows.columns if c.endswith("_sec")))
+
+
 @query()
 def r_slots(spark, sf_dir):
     return loops.slot_loop(em.edges(spark, sf_dir, em.CAP), em.trips(spark, sf_dir), 600, AlgorithmOptions()).by_iteration()

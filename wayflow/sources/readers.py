@@ -163,13 +163,13 @@ def pings(lines: DataFrame) -> DataFrame:
 
 #: Names a column goes by, compared without case and punctuation (fixed values).
 ALIASES = {
-    "pickup_time": ("pickupdatetime", "tpeppickupdatetime", "lpeppickupdatetime", "trippickupdatetime"),
-    "dropoff_time": ("dropoffdatetime", "tpepdropoffdatetime", "lpepdropoffdatetime", "tripdropoffdatetime"),
-    "pickup_lon": ("pickuplongitude", "startlon"),
-    "pickup_lat": ("pickuplatitude", "startlat"),
-    "dropoff_lon": ("dropofflongitude", "endlon"),
-    "dropoff_lat": ("dropofflatitude", "endlat"),
-    "trip_distance": ("tripdistance",),
+    "pickup_time": ("pickup_datetime", "tpep_pickup_datetime", "trip_pickup_datetime", "trip_pickup_date_time", "lpep_pickup_datetime", "pickup_time"),
+    "dropoff_time": ("dropoff_datetime", "tpep_dropoff_datetime", "trip_dropoff_datetime", "trip_dropoff_date_time", "lpep_dropoff_datetime", "dropoff_time"),
+    "pickup_lon": ("pickup_longitude", "start_lon", "pickup_lon", "pu_longitude"),
+    "pickup_lat": ("pickup_latitude", "start_lat", "pickup_lat", "pu_latitude"),
+    "dropoff_lon": ("dropoff_longitude", "drop_off_longitude", "end_lon", "dropoff_lon", "do_longitude"),
+    "dropoff_lat": ("dropoff_latitude", "drop_off_latitude", "end_lat", "dropoff_lat", "do_latitude"),
+    "trip_distance": ("trip_distance", "trip_distance_miles", "distance"),
 }
 #: Places of those columns in files of 17 columns without header.
 HEADERLESS = {"pickup_time": 2, "dropoff_time": 3, "trip_distance": 5, "pickup_lon": 6, "pickup_lat": 7, "dropoff_lon": 8, "dropoff_lat": 9}
@@ -181,7 +181,7 @@ def taxi_trips(raw: DataFrame) -> DataFrame:
     if raw.columns[:1] == ["_c0"]:
         place = {k: f"_c{i}" for k, i in HEADERLESS.items()}
     else:
-        place = {k: next((names[a] for a in own if a in names), None) for k, own in ALIASES.items()}
+        place = {k: next((names[a] for a in map(scalar.column_name, own) if a in names), None) for k, own in ALIASES.items()}
     lost = [k for k, v in place.items() if v is None and k != "trip_distance"]
     if lost:
         raise ValueError(f"columns not found: {', '.join(lost)}")
@@ -204,8 +204,10 @@ def road_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Result tables with headers, by column name, with ``source_file``."""
-    parts = [spark.read.csv(p, header=True).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) for p in paths]
+    """Result tables with headers, by column name, with ``source_file``. Files that share their header are one scan, however many they are."""
+    first = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
+    heads = first.where("at = 0").groupBy("path").agg(F.min_by("value", "m").alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths"))
+    parts = [spark.read.csv(r.paths, header=True).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) for r in heads.orderBy("head").collect()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
