@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayflow.functions import scalar
-from wayflow.operators.nearby import haversine_m
+from wayflow.operators.nearby import EARTH_M, haversine_m
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, most_m: float, cell: float = 0.005) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, most_m: float) -> DataFrame:
     """points (id, lon, lat) with the nearest node within ``most_m`` and its distance; ties go to the smaller node.
 
-    The cell must be as wide as the reach; nodes are listed in the nine cells around them, which makes it an equi join that keeps each point once.
+    Bands of latitude are as high as the reach, cells of a band as wide as the reach where it is widest in degrees, at its end nearer to the pole. A node is listed
+    in every cell of the three bands around it that its reach touches, across the date line too, which makes it an equi join that keeps each point once.
+    Bands that touch a pole are one cell.
     """
-    x = lambda c: F.floor(F.col(c) / cell).cast("bigint")
-    around = F.explode(F.array(*(F.struct((x("lon") + i).alias("x"), (x("lat") + k).alias("y")) for i in (-1, 0, 1) for k in (-1, 0, 1))))
-    listed = nodes.select("node", F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), around.alias("c")).select("node", "nlon", "nlat", "c.*")
-    met = points.select("*", x("lon").alias("x"), x("lat").alias("y")).join(listed, ["x", "y"])
+    high = max(most_m, 1.0) / (EARTH_M * math.pi / 180) * (1 + 1e-9)
+    band = lambda c: f"cast(floor(({c} + 90) / {high}) as bigint)"
+    # degrees of longitude that the reach spans in a band, at most; 360 where it may span a pole
+    edge = lambda y: f"least(90, greatest(abs({y} * {high} - 90), abs(({y} + 1) * {high} - 90)) + {high})"
+    wide = lambda y: f"if({edge(y)} >= 89.9, 360D, least(360D, {high} / cos(radians({edge(y)})) * 1.001))"
+    count = lambda y: f"greatest(1L, cast(floor(360 / {wide(y)}) as bigint))"
+    cell = lambda c, y: f"cast(floor(({c} + 180) / 360 * {count(y)}) as bigint)"
+    listed = nodes.selectExpr("node", "lon as nlon", "lat as nlat", f"explode(sequence({band('lat')} - 1, {band('lat')} + 1)) as y")
+    listed = listed.selectExpr("*", f"{count('y')} as n").selectExpr("*", f"floor((nlon + 180) / 360 * n) as x0")
+    around = F.expr("explode(array_distinct(transform(array(-1L, 0L, 1L), d -> pmod(cast(x0 as bigint) + d, n))))")
+    listed = listed.select("node", "nlon", "nlat", "y", around.alias("x"))
+    met = points.selectExpr("*", f"{band('lat')} as y").selectExpr("*", f"pmod({cell('lon', 'y')}, {count('y')}) as x").join(listed, ["x", "y"])
     met = met.withColumn("snap_m", haversine_m(F.col("lon"), F.col("lat"), F.col("nlon"), F.col("nlat"))).where(F.col("snap_m") <= most_m)
     return met.groupBy("id").agg(F.min(F.struct("snap_m", "node")).alias("m")).select("id", "m.node", "m.snap_m")
 
@@ -79,8 +91,15 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def slices(rows: DataFrame, key: str, parts: int, seed: int) -> DataFrame:
-    """Shuffled rows in disjoint sets of almost equal size, by hash: ``part`` from 0."""
-    return rows.withColumn("part", F.pmod(scalar.hash_order(key, seed), F.lit(parts)).cast("int"))
+    """Rows in random order cut into ``part`` 0.. of equal size, the first ones larger by one where it doesn't divide. Places are counted by ranges of the hash."""
+    h = scalar.hash_order(key, seed)
+    rows = rows.withColumns({"_h": h, "_b": F.shiftright(h, 48)})
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumns({"_f": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())}).drop("_n")
+    at = F.col("_f") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
+    own = rows.join(F.broadcast(sizes), "_b").withColumn("_i", at)
+    part = F.expr(f"if(_i < (_all % {parts}) * (_all div {parts} + 1), _i div (_all div {parts} + 1), (_i - _all % {parts}) div (_all div {parts}))")
+    return own.withColumn("part", part.cast("int")).drop("_h", "_b", "_f", "_all", "_i")
 
 
 def amplified(rows: DataFrame, key: str, rep: int, jitter: int, seed: int, extra: int = 0) -> DataFrame:
@@ -101,9 +120,21 @@ def popular(trips: DataFrame, n: int) -> DataFrame:
     return trips.groupBy("destination").agg(F.count("*").alias("trips")).orderBy(F.desc("trips"), "destination").limit(n)
 
 
-def local_pairs(nodes: DataFrame, near_origin: DataFrame, near_destination: DataFrame, n: int, seed: int) -> DataFrame:
-    """Origins and destinations drawn around two seeds and matched in their random orders."""
-    w = lambda s: F.row_number().over(Window.orderBy(scalar.hash_order("node", s), "node"))
-    a = sample(near_origin, "node", n, seed).select(F.col("node").alias("origin"), w(seed).alias("k"))
-    b = sample(near_destination, "node", n, seed + 1).select(F.col("node").alias("destination"), w(seed + 1).alias("k"))
-    return a.join(b, "k").where("origin <> destination").select("origin", "destination")
+def local_pairs(nodes: DataFrame, origin: tuple[float, float], destination: tuple[float, float], n: int, seed: int, km: float = 1.0, most_km: float = 64.0) -> DataFrame:
+    """n origins and destinations (node, lon, lat) drawn around two places and matched in their random orders.
+
+    The radius around a place doubles until it holds n nodes, or to ``most_km``; n rows of each side are numbered, which is what the caller asks for.
+    """
+
+    def drawn(at: tuple[float, float], name: str, s: int) -> DataFrame:
+        away = nodes.withColumn("_m", haversine_m(F.col("lon"), F.col("lat"), F.lit(at[0]), F.lit(at[1])) / 1000)
+        rings = away.select(F.greatest(F.lit(0), F.ceil(F.log2(F.col("_m") / km))).alias("r")).groupBy("r").count().where(F.col("r") <= math.ceil(math.log2(most_km / km))).collect()
+        reach, held = 0, 0
+        for r, c in sorted((x["r"], x["count"]) for x in rings if x["r"] is not None):
+            reach, held = r, held + c
+            if held >= n:
+                break
+        near = sample(away.where(F.col("_m") <= km * 2**reach), "node", n, s)
+        return near.select(F.col("node").alias(name), F.row_number().over(Window.orderBy(scalar.hash_order("node", s), "node")).alias("k"))
+
+    return drawn(origin, "origin", seed).join(drawn(destination, "destination", seed + 1), "k").where("origin <> destination").select("origin", "destination")

@@ -8,6 +8,7 @@ Ties are settled by node, then edge, so that every result is reproducible.
 from __future__ import annotations
 
 import heapq
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,26 +19,60 @@ from pyspark.sql import functions as F
 from wayflow.session import cut
 
 INF = (2**63 - 1) // 4
-#: Edges of the largest network that is broadcast: 24 bytes each, under 200 MB.
-MOST_EDGES = 8_000_000
+#: Bytes of the largest network that is broadcast, and what an edge takes: five numbers of eight bytes. A task adds two orders of the edges, of eight bytes each.
+MOST_BYTES, EDGE_BYTES = 200 << 20, 40
+
+
+class _Places:
+    """Position of an edge id, by binary search in the sorted ids."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+
+    def __getitem__(self, edge_id) -> int:
+        k = int(np.searchsorted(self.ids, edge_id))
+        if k == len(self.ids) or self.ids[k] != edge_id:
+            raise KeyError(edge_id)
+        return k
+
+
+class _Out:
+    """node -> (next node, position, fft), by edge: the edges in order of their node, and where each node's begin. Lists are made when a node is first asked for."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, fft: np.ndarray):
+        self.order = np.argsort(a, kind="stable")
+        self.nodes, self.first = np.unique(a[self.order], return_index=True)
+        self.last = np.append(self.first[1:], len(a))
+        self.b, self.fft, self.made = b, fft, {}
+
+    def get(self, node: int, default=()):
+        own = self.made.get(node)
+        if own is None:
+            k = int(np.searchsorted(self.nodes, node))
+            if k == len(self.nodes) or self.nodes[k] != node:
+                return default
+            at = self.order[self.first[k] : self.last[k]]
+            own = self.made[node] = list(zip(self.b[at].tolist(), at.tolist(), self.fft[at].tolist(), strict=True))
+        return own
+
+    def __getitem__(self, node: int):
+        return self.get(node)
 
 
 class Network:
-    """Edges as arrays by position; ``index`` maps an edge id to its position."""
+    """Edges as arrays by position, in order of their ids; ``index`` maps an edge id to its position."""
 
     def __init__(self, edge_id, src, dst, fft, cap):
-        self.edge_id, self.src, self.dst, self.fft, self.cap = (np.asarray(x, np.int64) for x in (edge_id, src, dst, fft, cap))
-        self.index = {int(e): i for i, e in enumerate(self.edge_id)}
-        self._lists: dict[bool, dict[int, list[tuple[int, int, int]]]] = {}
+        order = np.argsort(np.asarray(edge_id, np.int64), kind="stable")
+        self.edge_id, self.src, self.dst, self.fft, self.cap = (np.asarray(x, np.int64)[order] for x in (edge_id, src, dst, fft, cap))
+        self.index = _Places(self.edge_id)
+        self._lists: dict[bool, _Out] = {}
 
-    def out(self, backward: bool = False) -> dict[int, list[tuple[int, int, int]]]:
-        """node -> (next node, position, fft), by edge."""
+    def out(self, backward: bool = False) -> _Out:
+        """The edges that leave each node (that reach it, if backward)."""
         if backward not in self._lists:
-            lists: dict[int, list[tuple[int, int, int]]] = {}
             a, b = (self.dst, self.src) if backward else (self.src, self.dst)
-            for i, (u, v, w) in enumerate(zip(a.tolist(), b.tolist(), self.fft.tolist(), strict=True)):
-                lists.setdefault(u, []).append((v, i, w))
-            self._lists[backward] = lists
+            self._lists[backward] = _Out(a, b, self.fft)
         return self._lists[backward]
 
     def __getstate__(self):
@@ -129,15 +164,21 @@ class Network:
 
 
 def network(edges: DataFrame) -> Network:
-    """edges: edge_id, src, dst, fft, cap; refused beyond MOST_EDGES."""
-    if (n := edges.count()) > MOST_EDGES:
-        raise ValueError(f"{n} edges are too many to broadcast; use relaxed_distances")
-    rows = edges.select("edge_id", "src", "dst", "fft", "cap").orderBy("edge_id").toPandas()
+    """edges: edge_id, src, dst, fft, cap; refused beyond MOST_BYTES."""
+    rows = edges.select("edge_id", "src", "dst", "fft", "cap").limit(MOST_BYTES // EDGE_BYTES + 1).toPandas()
+    if len(rows) * EDGE_BYTES > MOST_BYTES:
+        raise ValueError(f"over {MOST_BYTES // EDGE_BYTES} edges are too many to broadcast; use relaxed_distances")
     return Network(rows.edge_id, rows.src, rows.dst, rows.fft, rows.cap)
 
 
+#: Broadcast networks by the table they were made of, so that a loop collects and sends its roads once.
+_SENT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def _shared(edges: DataFrame):
-    return edges.sparkSession.sparkContext.broadcast(network(edges))
+    if edges not in _SENT:
+        _SENT[edges] = edges.sparkSession.sparkContext.broadcast(network(edges))
+    return _SENT[edges]
 
 
 def _routes(net, key: str):

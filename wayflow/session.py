@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary one; on a cluster, whose hosts share no such folder, it is an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not conf and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="wayflow-checkpoint-"))
     return conf or sc._jsc.sc().getCheckpointDir().get()
 
