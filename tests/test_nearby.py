@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from wayflow.operators import nearby
 
 SCHEMA = "set string, id bigint, lon double, lat double, r double, rset string"
@@ -35,9 +37,11 @@ def points(seed, sets, n):
     return out + out[:5]
 
 
-def test_against_brute(spark, monkeypatch):
-    monkeypatch.setattr(nearby, "LEAF_ROWS", 20)
-    monkeypatch.setattr(nearby, "HOT_SHARE", 50)
+@pytest.mark.parametrize("full, roots", [(20, 0), (20, 2000), (2000, 2_000_000)])
+def test_against_brute(spark, monkeypatch, full, roots):
+    monkeypatch.setattr(nearby, "FULL", full)
+    monkeypatch.setattr(nearby, "CROWDED", full // 2)
+    monkeypatch.setattr(nearby, "ROOTS", roots)
     left, right = points(1, ["a", "b"], 300), points(2, ["u", "v", "w"], 200)
     sets = [("a", "u"), ("b", "v"), ("a", "v")]
     want = {(x[0], x[1], y[0], y[1]) for x in left for y in right if (x[0], y[0]) in sets and ok(x) and ok(y) and far(x, y) <= x[4] + y[4]}
