@@ -47,7 +47,7 @@ def rolled_up(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
         F.countDistinct("iteration").alias("iterations"), F.min_by("total_before", "iteration").alias("start"), F.min("total_after").alias("best"),
         F.max_by("total_after", F.struct("iteration", "total_after")).alias("final"), F.sum("method_total_sec").alias("sec"), F.avg("selected_fraction").alias("fraction"),
     )
-    return per.where(F.col("iterations") >= least).select(*keys, "iterations", "best", "final", F.round(scalar.safe_ratio(F.col("start") - F.col("best"), "start"), 4).alias("reduction_percent"), (F.col("final") - F.col("best")).alias("fluctuation"), F.round("sec", 6).alias("total_sec"), F.round("fraction", 6).alias("mean_fraction"))
+    return per.where(F.col("iterations") >= least).select(*keys, "iterations", "best", "final", F.round(scalar.safe_ratio(F.col("start") - F.col("best"), "start"), 4).alias("reduction_percent"), (F.col("final") - F.col("best")).alias("fluctuation"), F.round("sec", 6).alias("total_sec"), F.round(F.col("fraction") + 1e-9, 6).alias("mean_fraction"))
 
 
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

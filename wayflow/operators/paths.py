@@ -225,10 +225,17 @@ def nodes_in_range(edges: DataFrame, sources: DataFrame, low: int, high: int) ->
     return distances(edges, sources, high).where(F.col("dist") >= low)
 
 
-def relaxed_distances(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
-    """The same distances by rounds of relaxation of the nodes that improved, for networks that are too large to send around."""
+def relaxed_distances(edges: DataFrame, sources: DataFrame, rounds: int = 200, doublings: int = 3) -> DataFrame:
+    """The same distances by rounds of relaxation of the nodes that improved, for networks that are too large to send around.
+
+    Ways of up to 2^doublings edges are joined to single steps first, so that a round reaches so far.
+    """
+    hops = edges.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min("fft").alias("fft"))
+    for _ in range(doublings):
+        further = hops.join(hops.toDF("next", "after", "more"), "next").select("node", F.col("after").alias("next"), (F.col("fft") + F.col("more")).alias("fft"))
+        hops = cut(hops.unionByName(further).where("node <> next").groupBy("node", "next").agg(F.min("fft").alias("fft")))
     known = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("dist")).distinct())
-    front, hops = known, edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "fft")
+    front = known
     for _ in range(rounds):
         step = front.join(hops, "node").groupBy("source", F.col("next").alias("node")).agg(F.min(F.col("dist") + F.col("fft")).alias("new"))
         both = cut(known.join(step, ["source", "node"], "full").selectExpr("source", "node", "least(dist, new) as dist", "new is not null and (dist is null or new < dist) as better"))
@@ -271,12 +278,12 @@ def round_robin(trips: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def valid(routes: DataFrame, edges: DataFrame) -> DataFrame:
-    """routes (trip_id, origin, destination, edges) with ``contiguous``: an unbroken way from origin to destination."""
-    steps = routes.select("trip_id", "origin", "destination", F.posexplode_outer("edges").alias("pos", "edge_id")).join(edges.select("edge_id", "src", "dst"), "edge_id", "left")
+    """routes (trip_id, origin, destination, edges) with ``contiguous``: an unbroken way from origin to destination. No edges are one where nothing need be gone."""
+    steps = routes.select("trip_id", "origin", "destination", F.posexplode("edges").alias("pos", "edge_id")).join(edges.select("edge_id", "src", "dst"), "edge_id", "left")
     from pyspark.sql import Window
 
     w = Window.partitionBy("trip_id").orderBy("pos")
     ok = F.col("src").eqNullSafe(F.coalesce(F.lag("dst").over(w), F.col("origin"))) & F.col("dst").isNotNull()
-    end = F.when(F.lead("pos").over(w).isNull(), F.col("dst") == F.col("destination")).otherwise(True)
-    checked = steps.withColumn("ok", ok & end).groupBy("trip_id").agg(F.bool_and("ok").alias("contiguous"))
-    return routes.join(checked, "trip_id")
+    end = F.when(F.lead("pos").over(w).isNull(), F.col("dst").eqNullSafe(F.col("destination"))).otherwise(True)
+    checked = steps.withColumn("ok", ok & end).groupBy("trip_id").agg(F.bool_and("ok").alias("ok"))
+    return routes.join(checked, "trip_id", "left").withColumn("contiguous", F.coalesce("ok", F.col("origin").eqNullSafe(F.col("destination")))).drop("ok")

@@ -434,7 +434,7 @@ def a_volatility(spark, sf_dir):
 
 
 @query(f"""with {em.FACTS_SQL}, m as (select dataset, count(distinct iteration) as iterations, min(total_after) as best, arg_max(total_after, (iteration, total_after)) as final, sum(method_total_sec) as sec, avg(selected_fraction) as fraction from f group by 1)
-select dataset, iterations, best, final, final - best as fluctuation, round(sec, 6) as total_sec, round(fraction, 6) as mean_fraction from m where iterations >= 2""")
+select dataset, iterations, best, final, final - best as fluctuation, round(sec, 6) as total_sec, round(fraction + 1e-9, 6) as mean_fraction from m where iterations >= 2""")
 def a_rolled_up(spark, sf_dir):
     return facts.rolled_up(em.facts(spark, sf_dir), ["dataset"], 2).drop("reduction_percent")
 
@@ -514,7 +514,7 @@ def p_routes(spark, sf_dir):
     return paths.shortest_routes(em.edges(spark, sf_dir), em.trips(spark, sf_dir)).select("run_id", "trip_id", "edges", "tt")
 
 
-_SOURCES = "select distinct origin as source from query_candidates where origin <= 8"
+_SOURCES = "select distinct origin as source from query_candidates where origin is not null"
 
 
 @query(f"""with recursive {em.EDGES_SQL}, d as (
@@ -523,39 +523,52 @@ _SOURCES = "select distinct origin as source from query_candidates where origin
   select d.source, dst, d.dist + fft from d join edges on d.node = src where d.dist + fft <= 150
 ) select source, node, min(dist) as dist from d group by 1, 2""")
 def p_bounded(spark, sf_dir):
-    # every origin; the SQL twin above is as it was and covers origins up to 8 only
     sources = table(spark, sf_dir, "query_candidates").where("origin is not null").select(F.col("origin").alias("source"))
     return paths.distances(em.edges(spark, sf_dir), sources, 150)
 
 
+# all distances by doubling the number of hops: min-plus squares of the matrix of edges
+_DOUBLED = ", ".join(f"d{k} as materialized (select x.a, y.b, min(x.d + y.d) as d from d{k - 1} x join d{k - 1} y on x.b = y.a group by 1, 2)" for k in range(1, 11))
+_CLOSURE = f"""with {em.EDGES_SQL}, ends as (select src as node from edges union select dst from edges union select origin from query_candidates where origin is not null union select destination from query_candidates where destination is not null),
+d0 as (select a, b, min(d) as d from (select src as a, dst as b, fft as d from edges union all select node, node, 0 from ends) group by 1, 2), {_DOUBLED}, t as (select distinct destination as node from query_candidates where destination is not null)"""
+
+
 def _destinations(spark, sf_dir):
     return table(spark, sf_dir, "query_candidates").where("destination is not null").select(F.col("destination").alias("source")).distinct()
 
 
-@query()
+@query(_CLOSURE + " select b as source, a as node, d as dist from d10 where b in (select node from t)")
 def p_reverse(spark, sf_dir):
     return paths.distances(em.edges(spark, sf_dir), _destinations(spark, sf_dir), backward=True)
 
 
-@query()
+@query(_CLOSURE + " select a as source, b as node, d as dist from d10 where a in (select node from t)")
 def p_relaxed(spark, sf_dir):
     return paths.relaxed_distances(em.edges(spark, sf_dir), _destinations(spark, sf_dir))
 
 
-@query()
+@query(_CLOSURE + " select a as source, b as node, d as dist from d10 where a in (select node from t) and d between 300 and 600")
 def p_range(spark, sf_dir):
     return paths.nodes_in_range(em.edges(spark, sf_dir), _destinations(spark, sf_dir), 300, 600)
 
 
+@query(_CLOSURE + f", {em.TRIPS_SQL} select run_id, trip_id, cast(coalesce(d, 0) as bigint) as tt, d > 0 as reached from (select run_id, trip_id, (select d from d10 where a = origin and b = destination) as d from trips)".replace("d > 0 as reached", "coalesce(d > 0, false) as reached"))
+def p_costs(spark, sf_dir):
+    """Travel time of the shortest route of every trip, whichever of several equal ones it is."""
+    found = paths.shortest_routes(em.edges(spark, sf_dir), em.trips(spark, sf_dir))
+    return found.select("run_id", "trip_id", "tt", (F.size("edges") > 0).alias("reached"))
+
+
 @query()
 def p_diverse(spark, sf_dir):
     return paths.diverse_routes(em.edges(spark, sf_dir), em.trips(spark, sf_dir), 3, 70).select("run_id", "trip_id", "edges", "tt")
 
 
-@query()
+@query(_CLOSURE + f", {em.TRIPS_SQL} select trip_id, origin = destination or d is not null as contiguous from trips left join d10 on a = origin and b = destination")
 def p_valid(spark, sf_dir):
-    routes = paths.shortest_routes(em.edges(spark, sf_dir), em.trips(spark, sf_dir)).where("size(edges) > 0")
-    return paths.valid(routes, em.edges(spark, sf_dir)).select("trip_id", "contiguous")
+    """A verdict for every trip: a route without edges is one only where origin and destination are the same."""
+    edges = em.edges(spark, sf_dir)
+    return paths.valid(paths.shortest_routes(edges, em.trips(spark, sf_dir)), edges).select("trip_id", "contiguous")
 
 
 @query()
@@ -622,6 +635,21 @@ def t_components(spark, sf_dir):
     return dependency.run_components(g.nodes, g.arcs)
 
 
+_PARTS = f"""with recursive {em.STAYS_SQL}, a as (select run_id, edge_id as e, enter as t, lead(edge_id) over w as f, lead(enter) over w as u from stays window w as (partition by run_id, trip_id order by pos)),
+n as (select distinct run_id, edge_id as e, enter as t from stays), b as (select distinct run_id, e || ':' || t as x, f || ':' || u as y from a where f is not null), s as (select run_id, x, y from b union select run_id, y, x from b),
+r as (select run_id, e || ':' || t as x, e || ':' || t as y from n union select r.run_id, r.x, s.y from r join s on r.run_id = s.run_id and r.y = s.x)"""
+
+
+@query(_PARTS + " select run_id, count(*) as nodes, cast(sum(size) as bigint) as pairs from (select run_id, x, count(*) as size from r group by 1, 2) group by 1")
+def t_component_sizes(spark, sf_dir):
+    """Weak components of the stays' route arcs: per run the nodes and the ordered pairs of nodes in one component."""
+    stays = em.stays(spark, sf_dir)
+    nodes = cut(stays.select("run_id", "edge_id", F.col("enter").alias("time")).distinct())
+    label = dependency.labels(nodes, cut(dependency.route_arcs(stays)))
+    sizes = label.groupBy("run_id", "component").agg(F.count("*").alias("k"))
+    return sizes.groupBy("run_id").agg(F.sum("k").alias("nodes"), F.sum(F.col("k") * F.col("k")).alias("pairs"))
+
+
 @query()
 def t_compressed(spark, sf_dir):
     _, _, g = _graph(spark, sf_dir)
