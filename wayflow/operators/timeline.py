@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from wayflow.session import cut
 
 BUCKET_S = 6 * 3600
 
@@ -27,21 +30,23 @@ def running_sum(rows: DataFrame, keys: list[str], time: str, value: str, out: st
     return summed.withColumn(out, F.col("_w") + F.col("_c")).drop("_w", "_c", "_b")
 
 
-def as_of(probes: DataFrame, steps: DataFrame, keys: list[str], time: str, value: str, width: int = BUCKET_S, default: int = 0) -> DataFrame:
-    """For each probe the value of the last step at or before its time; ``default`` before the first.
+def as_of(probes: DataFrame, steps: DataFrame, keys: list[str], time: str, value: str, width: int = BUCKET_S, default: int | None = 0) -> DataFrame:
+    """For each probe the value (a whole number or a struct) of the last step at or before its time; ``default`` before the first.
 
     One step per (keys, time). Buckets without steps inherit along the key's list of buckets.
     """
     extra = [c for c in probes.columns if c not in (*keys, time)]
-    a = probes.select(*keys, time, F.lit(1).alias("_p"), F.lit(None).cast("bigint").alias("_v"), F.struct(*extra, F.lit(1).alias("_one")).alias("_x"))
-    b = steps.select(*keys, time, F.lit(0).alias("_p"), F.col(value).cast("bigint").alias("_v"), F.lit(None).cast(a.schema["_x"].dataType).alias("_x"))
+    kind = steps.schema[value].dataType
+    kind = kind if kind.typeName() == "struct" else LongType()
+    a = probes.select(*keys, time, F.lit(1).alias("_p"), F.lit(None).cast(kind).alias("_v"), F.struct(*extra, F.lit(1).alias("_one")).alias("_x"))
+    b = steps.select(*keys, time, F.lit(0).alias("_p"), F.col(value).cast(kind).alias("_v"), F.lit(None).cast(a.schema["_x"].dataType).alias("_x"))
     both = a.unionAll(b).withColumn("_b", _bucket(time, width))
     last = both.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_p") == 0, F.col(time))).alias("_l"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.withColumn("_c", F.last("_l", True).over(before)).drop("_l")
     within = Window.partitionBy(*keys, "_b").orderBy(time, "_p").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_w", F.last("_v", True).over(within)).where("_p = 1").join(carried, [*keys, "_b"])
-    return found.select(*keys, time, *(F.col(f"_x.{c}").alias(c) for c in extra), F.coalesce("_w", "_c", F.lit(default).cast("bigint")).alias(value))
+    return found.select(*keys, time, *(F.col(f"_x.{c}").alias(c) for c in extra), F.coalesce("_w", "_c", F.lit(default).cast(kind)).alias(value))
 
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, width: int = BUCKET_S, closed: bool = False) -> DataFrame:
@@ -81,14 +86,11 @@ def areas(steps: DataFrame, keys: list[str], width: int = BUCKET_S) -> DataFrame
 
 def trailing_areas(steps: DataFrame, keys: list[str], window: int) -> DataFrame:
     """The steps with ``duration``, how far the trailing window reaches back within the key's life, and ``window_area`` over it."""
-    summed = areas(steps, keys)
-    first = steps.groupBy(*keys).agg(F.min("time").alias("first"))
-    asked = summed.join(first, keys).withColumn("from", F.greatest(F.col("first"), F.col("time") - window))
-    base = summed.select(*keys, F.col("time").alias("t"), F.struct("time", "flow", "area").alias("s"))
-    probes = asked.select(*keys, F.col("from").alias("t"), "time", "flow", "is_entry", "area")
-    # the state at the window's start: as of that time, carried over as the time of the last step
-    at = as_of(probes, base.select(*keys, "t", F.col("t").alias("last_t")), keys, "t", "last_t")
-    base = base.select(*keys, F.col("t").alias("last_t"), F.col("s.flow").alias("f0"), F.col("s.area").alias("a0"))
-    joined = at.join(base, [*keys, "last_t"])
-    start = F.col("a0") + F.col("f0") * (F.col("t") - F.col("last_t"))
-    return joined.select(*keys, "time", "flow", "is_entry", (F.col("time") - F.col("t")).alias("duration"), (F.col("area") - start).cast("bigint").alias("window_area"))
+    summed = cut(areas(steps, keys))
+    first = summed.groupBy(*keys).agg(F.min("time").alias("first"))
+    asked = summed.join(first, keys).select(*keys, F.greatest(F.col("first"), F.col("time") - window).alias("t"), "time", "flow", "is_entry", "area")
+    # the state at the window's start: time, flow and area of the last step at or before it
+    states = summed.select(*keys, F.col("time").alias("t"), F.struct("time", "flow", "area").alias("s"))
+    at = as_of(asked, states, keys, "t", "s", default=None)
+    start = F.col("s.area") + F.col("s.flow") * (F.col("t") - F.col("s.time"))
+    return at.select(*keys, "time", "flow", "is_entry", (F.col("time") - F.col("t")).alias("duration"), (F.col("area") - start).cast("bigint").alias("window_area"))

@@ -33,7 +33,7 @@ class Result:
 def _stacked(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for t in parts[1:]:
-        out = out.unionByName(t)
+        out = out.unionByName(t, allowMissingColumns=True)
     return out
 
 
