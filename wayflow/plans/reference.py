@@ -305,6 +305,61 @@ def a_mean_scores(spark, sf_dir):
     return selection.mean_scores(em.stays(spark, sf_dir), "flow").withColumn("score", F.round("score", 6))
 
 
+_LOADS = """, r as (select n.*, cap, fft, flow * 1000000 // greatest(1, cap) as ratio from nodes n join edges using (edge_id)), k as (select *, row_number() over (partition by run_id order by ratio) - 1 as i, count(*) over (partition by run_id) as n from r),
+th as (select run_id, ratio as theta from k where i = 90 * (n - 1) // 100)"""
+_ALONG = """, along as (select run_id, edge_id as e, enter as t, lead(edge_id) over w as f, lead(enter) over w as u from stays window w as (partition by run_id, trip_id order by pos))"""
+
+
+@query(f"""with recursive {em.NODES_SQL}{_LOADS}{_ALONG}, hot as (select run_id, edge_id as e, time as t from r join th using (run_id) where ratio > theta),
+below as (select run_id, f as e, u as t from along semi join hot on along.run_id = hot.run_id and along.e = hot.e and along.t = hot.t where f is not null
+  union select a.run_id, a.f, a.u from below b join along a on a.run_id = b.run_id and a.e = b.e and a.t = b.t where a.f is not null),
+source as (select * from hot anti join below using (run_id, e, t)) select distinct s.run_id, trip_id from stays s join source q on s.run_id = q.run_id and s.edge_id = q.e and s.enter = q.t""")
+def c_sources(spark, sf_dir):
+    """Trips through a loaded node below which no other loaded one stands, over the stays' route arcs."""
+    stays = em.stays(spark, sf_dir)
+    return selection.source_congestion(_on(spark, sf_dir), cut(em.nodes(spark, sf_dir)), dependency.route_arcs(stays), em.edges(spark, sf_dir), 90)
+
+
+@query(f"""with {em.NODES_SQL}{_LOADS} select run_id, edge_id, time from r join th using (run_id) where ratio >= theta""")
+def t_loaded(spark, sf_dir):
+    return dependency.loaded(em.nodes(spark, sf_dir), em.edges(spark, sf_dir), 90)
+
+
+@query(f"""with recursive {em.NODES_SQL}{_OVER}{_ALONG}, act as (select run_id, edge_id as e, time as t, relief, edge_id || ':' || time as x from rel where relief > 0),
+b as (select a.run_id, p.x, q.x as y from along a join act p on a.run_id = p.run_id and a.e = p.e and a.t = p.t join act q on a.run_id = q.run_id and a.f = q.e and a.u = q.t), s as (select * from b union select run_id, y, x from b),
+reached as (select run_id, x, x as y from act union select g.run_id, g.x, s.y from reached g join s on g.run_id = s.run_id and g.y = s.x), lab as (select run_id, x, min(y) as c from reached group by 1, 2),
+v as (select distinct run_id, trip_id, edge_id as e, enter as t from stays), sc as (select run_id, c, trip_id, sum(relief) as score from v join act using (run_id, e, t) join lab using (run_id, x) group by 1, 2, 3),
+m as (select run_id, c, sum(relief) as mass from act join lab using (run_id, x) group by 1, 2), w as (select *, sum(score) over (partition by run_id, c order by score desc, trip_id rows between unbounded preceding and 1 preceding) as before from sc join m using (run_id, c))
+select distinct run_id, trip_id from w where coalesce(before, 0) < mass * 50 / 100""")
+def c_balanced(spark, sf_dir):
+    """Per component of overloaded nodes the trips that cover half of its mass, over the stays' route arcs."""
+    relief = cut(_relief(spark, sf_dir))
+    arcs = selection._active_arcs(dependency.route_arcs(em.stays(spark, sf_dir)), relief)
+    return selection.by_component(_on(spark, sf_dir), relief, dependency.labels(relief, cut(arcs)), 50)
+
+
+_NORM = """, nr as (select *, row_number() over (partition by run_id order by flow) - 1 as i, count(*) over (partition by run_id) as n from nodes), nc as (select run_id, flow as clip from nr where i = 99 * (n - 1) // 100),
+norm as (select run_id, edge_id, time, flow, case when clip <= 0 then 0 else ln(1 + least(flow, clip)) / ln(1 + clip) end as impact_norm from nodes join nc using (run_id))"""
+
+
+@query(f"with {em.PROFILE_SQL}{_ANCHORS}, nodes as (select run_id, edge_id, enter as time, max(flow) as flow from stays group by 1, 2, 3){_NORM} select run_id, edge_id, time, round(impact_norm * (flow - cap) / cap::double + 1e-9, 6) as relief from norm semi join (select run_id, edge_id, time from anchors where score > 0) a using (run_id, edge_id, time) join edges using (edge_id) where flow > cap and impact_norm > 0")
+def t_relief(spark, sf_dir):
+    """Excess relief of the anchors, a node's flow standing for its impact."""
+    edges, nodes = em.edges(spark, sf_dir), cut(em.nodes(spark, sf_dir))
+    norm = dependency.normalised(nodes.withColumnRenamed("flow", "impact"))
+    found = dependency.relief(nodes, norm, dependency.anchors(cut(traffic.profile(em.stays(spark, sf_dir))), edges), edges)
+    return found.withColumn("relief", F.round(F.col("relief") + 1e-9, 6))
+
+
+@query(f"""with {em.NODES_SQL}{_NORM}, b as (select n.*, cap, {_BPR} as base from norm n join edges using (edge_id)), br as (select run_id, greatest(base, 1) as d, row_number() over (partition by run_id order by greatest(base, 1)) - 1 as i, count(*) over (partition by run_id) as n from b),
+un as (select run_id, d as unit from br where i = 90 * (n - 1) // 100) select run_id, edge_id, time, flow as impact, cast(round(impact_norm * unit * greatest(0.0, least(1.0, (flow / greatest(cap, 1)::double - 0.5) / 0.5)) + 1e-9, 0) as bigint) as penalty from b join un using (run_id)""")
+def t_prices(spark, sf_dir):
+    """What rerouting pays per node, a node's flow standing for its impact."""
+    edges, nodes = em.edges(spark, sf_dir), cut(em.nodes(spark, sf_dir))
+    impacts = nodes.join(edges, "edge_id").select("run_id", "edge_id", "time", scalar.bpr("fft", "cap", "flow").alias("base"), F.col("flow").alias("impact"))
+    return dependency.penalties(cut(impacts), nodes, edges)
+
+
 # ---- demand ----
 
 _CELL = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians(n.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(n.lat)) * pow(sin((radians(n.lon) - radians(p.lon)) / 2), 2))))"
