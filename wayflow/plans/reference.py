@@ -360,6 +360,34 @@ def t_prices(spark, sf_dir):
     return dependency.penalties(cut(impacts), nodes, edges)
 
 
+_SOFT = "(fft + fft * 15 / 100.0 * pow({f} / cap::double, 4))"
+
+
+@query(f"""with {em.NODES_SQL}{_NORM}, g as (select n.*, round({_SOFT.format(f="flow")} - {_SOFT.format(f="(flow - 1)")}, 9) as margin from norm n join edges using (edge_id)),
+gr as (select run_id, margin, row_number() over (partition by run_id order by margin) - 1 as i, count(*) over (partition by run_id) as n from g where margin > 0), gc as (select run_id, greatest(margin, 1) as clip from gr where i = 99 * (n - 1) // 100)
+select run_id, edge_id, time, round(ln(1 + least(greatest(margin, 0), clip)) / ln(1 + clip) * impact_norm + 1e-9, 5) as relief from g join gc using (run_id) where margin > 0 and impact_norm > 0""")
+def t_bpr_relief(spark, sf_dir):
+    """Relief by the delay that one vehicle less saves, a node's flow standing for its impact."""
+    nodes = cut(em.nodes(spark, sf_dir))
+    norm = dependency.normalised(nodes.withColumnRenamed("flow", "impact"))
+    return dependency.bpr_relief(nodes, fresh(norm), em.edges(spark, sf_dir)).withColumn("relief", F.round(F.col("relief") + 1e-9, 5))
+
+
+@query(f"""with {em.NODES_SQL}, e as (select run_id, edge_id, sum(flow) as mass from nodes group by 1, 2), r as (select *, row_number() over (partition by run_id order by mass desc, edge_id) as k from e)
+select run_id, round(sum(case when k <= 10 then mass else 0 end) / nullif(sum(mass), 0)::double, 9) as share from r group by 1""")
+def a_top_share(spark, sf_dir):
+    mass = em.nodes(spark, sf_dir).groupBy("run_id", "edge_id").agg(F.sum("flow").cast("double").alias("mass"))
+    return selection.top_share(mass, ["run_id"], "mass", "edge_id", 10).withColumn("share", F.round("share", 9))
+
+
+@query(f"""with {em.NODES_SQL} select run_id, edge_id, time, case when cap - 1 <= 0 then 9223372036854775807 else cast(trunc(flow * 1000000::double / (cap - 1)) as bigint) end as ratio, cast(least(2305843009213693951::hugeint, flow::hugeint * 100000000000000 + fft) as bigint) as added,
+round(0.5 * cap / 500.0 + 0.5 * (1 - flow / (flow + 1)::double), 9) as score from nodes join edges using (edge_id)""")
+def f_variants(spark, sf_dir):
+    rows = em.nodes(spark, sf_dir).join(em.edges(spark, sf_dir), "edge_id")
+    order = scalar.order_score("cap", F.lit(500.0), F.col("flow") / (F.col("flow") + 1))
+    return rows.select("run_id", "edge_id", "time", scalar.ratio_key_or_max("flow", F.col("cap") - 1).alias("ratio"), scalar.saturating_add(F.col("flow").cast("decimal(38,0)") * 100_000_000_000_000, "fft").alias("added"), F.round(order, 9).alias("score"))
+
+
 # ---- demand ----
 
 _CELL = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians(n.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(n.lat)) * pow(sin((radians(n.lon) - radians(p.lon)) / 2), 2))))"
@@ -614,6 +642,16 @@ def p_costs(spark, sf_dir):
     return found.select("run_id", "trip_id", "tt", (F.size("edges") > 0).alias("reached"))
 
 
+@query(_CLOSURE + """, q as (select distinct origin, destination from query_candidates where origin is not null and destination is not null),
+m as (select q.origin as a, q.destination as b, x.d + y.d as cost, x.b as hub from q join d10 x on x.a = q.origin join d10 y on y.a = x.b and y.b = q.destination) select a, b, min(cost) as cost, arg_min(hub, (cost, hub)) as hub from m group by 1, 2""")
+def j_hub_merge(spark, sf_dir):
+    """Costs of pairs by labels that have every node as a hub."""
+    edges = em.edges(spark, sf_dir)
+    ends = table(spark, sf_dir, "query_candidates").where("origin is not null and destination is not null").selectExpr("origin as a", "destination as b").distinct()
+    out, into = paths.distances(edges, ends.selectExpr("a as source")), paths.distances(edges, ends.selectExpr("b as source"), backward=True)
+    return baselines.merge_labels(out, into, ends)
+
+
 @query()
 def p_diverse(spark, sf_dir):
     return paths.diverse_routes(em.edges(spark, sf_dir), em.trips(spark, sf_dir), 3, 70).select("run_id", "trip_id", "edges", "tt")
