@@ -153,3 +153,14 @@ def test_every_destination(spark, tmp_path):
     assert got(reference.p_reverse) == {(b, a): d for (a, b), d in dist.items() if b in ends}
     assert got(reference.p_range) == {(a, b): d for (a, b), d in dist.items() if a in ends and 300 <= d <= 600}
     assert got(reference.p_relaxed) == {(a, b): d for (a, b), d in dist.items() if a in ends}
+
+
+def test_sources_by_walk_and_by_rounds(spark):
+    """0 -> 1 -> 2 -> 3 with 1 and 3 loaded, and 4 loaded alone: 1 and 4 are sources."""
+    edges = spark.createDataFrame([(e, 0, 1, 10, 1) for e in range(5)], EDGES)
+    nodes = spark.createDataFrame([(0, e, e, f, f) for e, f in enumerate([1, 9, 1, 9, 9])], NODES)
+    arcs = spark.createDataFrame([(0, e, e, e + 1, e + 1, "route") for e in range(3)], ARCS)
+    visits = spark.createDataFrame([(0, e, e, e) for e in range(5)], VISITS)
+    for by_rounds in (True, False, None):
+        got = selection.source_congestion(visits, nodes, arcs, edges, 30, by_rounds).collect()
+        assert sorted(r.trip_id for r in got) == [1, 4]

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from wayflow.functions import scalar
 from wayflow.model import TrafficOptions
-from wayflow.operators.dependency import KEY, loaded, order_statistic, pushed
+from wayflow.operators.dependency import KEY, RUN_NODES, loaded, order_statistic, pushed
 from wayflow.operators.live import Live
-from wayflow.session import fresh
+from wayflow.session import cut, fresh
 
 PICKED = "run_id bigint, trip_id int, place int"
 
@@ -82,25 +82,48 @@ def score_top(visits: DataFrame, relief: DataFrame, theta: int) -> DataFrame:
     return (scored.limit(0) if theta <= 0 else prefix_cover(scored, ["run_id"], "score", "trip_id", theta)).select("run_id", "trip_id", "score")
 
 
-def source_congestion(visits: DataFrame, nodes: DataFrame, arcs: DataFrame, edges: DataFrame, percentile: int, rounds: int = 200) -> DataFrame:
-    """Trips through a node whose load exceeds the percentile while none of its ancestors' does."""
-    from wayflow.session import cut
+def source_congestion(visits: DataFrame, nodes: DataFrame, arcs: DataFrame, edges: DataFrame, percentile: int, by_rounds: bool | None = None) -> DataFrame:
+    """Trips through a node whose load exceeds the percentile while none of its ancestors' does.
 
+    What lies below loaded nodes is found by one walk per run if every run, as counted, fits a task, else by rounds of joins; by_rounds decides it.
+    """
     rows = nodes.join(edges.select("edge_id", "cap"), "edge_id").withColumn("ratio", scalar.ratio_key("flow", "cap"))
     limit = order_statistic(rows, ["run_id"], "ratio", percentile, "theta")
     hot = cut(rows.join(F.broadcast(limit), "run_id").where("ratio > theta").select(*KEY))
+    if by_rounds is None:
+        by_rounds = (nodes.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0) > RUN_NODES
+    sources = hot.join(_below(hot, arcs), KEY, "left_anti") if by_rounds else _sources(hot, arcs)
+    return visits.join(sources, KEY, "left_semi").select("run_id", "trip_id").distinct()
+
+
+def _sources(hot: DataFrame, arcs: DataFrame) -> DataFrame:
+    def work(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        loaded = set(zip(own.edge_id, own.time, strict=True))
+        children = defaultdict(list)
+        for a, s, b, t in zip(links.src_edge, links.src_time, links.dst_edge, links.dst_time, strict=True):
+            children[a, s].append((b, t))
+        below, left = set(), list(loaded)
+        while left:
+            for x in children.get(left.pop(), ()):
+                if x not in below:
+                    below.add(x)
+                    left.append(x)
+        return pd.DataFrame([(key[0], *x) for x in loaded - below], columns=KEY)
+
+    links = fresh(arcs.select("run_id", "src_edge", "src_time", "dst_edge", "dst_time").distinct())
+    return fresh(hot).groupBy("run_id").cogroup(links.groupBy("run_id")).applyInPandas(work, "run_id bigint, edge_id int, time bigint")
+
+
+def _below(hot: DataFrame, arcs: DataFrame, rounds: int = 10_000) -> DataFrame:
     arcs = cut(arcs.select("run_id", "src_edge", "src_time", "dst_edge", "dst_time").distinct())
     reached, front = None, hot
     for _ in range(rounds):
         step = arcs.join(front.toDF("run_id", "src_edge", "src_time"), ["run_id", "src_edge", "src_time"], "left_semi").selectExpr("run_id", "dst_edge as edge_id", "dst_time as time").distinct()
         front = cut(step if reached is None else step.join(reached, KEY, "left_anti"))
         if front.isEmpty():
-            break
+            return hot.limit(0) if reached is None else reached
         reached = front if reached is None else cut(reached.unionAll(front))
-    else:
-        raise RuntimeError(f"descendants still grow after {rounds} rounds")
-    sources = hot if reached is None else hot.join(reached, KEY, "left_anti")
-    return visits.join(sources, KEY, "left_semi").select("run_id", "trip_id").distinct()
+    raise RuntimeError(f"descendants still grow after {rounds} rounds")
 
 
 def by_component(visits: DataFrame, relief: DataFrame, labels: DataFrame, gamma: int) -> DataFrame:
@@ -296,8 +319,6 @@ def batches(selected: DataFrame, visits: DataFrame, nodes: DataFrame, edges: Dat
 
 def slot_candidates(slots: DataFrame, arcs: DataFrame, trajectories: DataFrame, edges: DataFrame, width: int, percentile: int, ignore: int = 0) -> DataFrame:
     """Trips through the overloaded slots upstream of the overloaded ones without overloaded children."""
-    from wayflow.session import cut
-
     at = ["run_id", "edge_id", "slot"]
     rows = slots.join(edges.select("edge_id", "cap"), "edge_id").where(F.col("cap") > ignore).withColumn("load", F.col("flow") / F.greatest("cap", F.lit(1)))
     limit = order_statistic(rows, ["run_id"], "load", percentile, "theta")

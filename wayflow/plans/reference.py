@@ -317,7 +317,7 @@ source as (select * from hot anti join below using (run_id, e, t)) select distin
 def c_sources(spark, sf_dir):
     """Trips through a loaded node below which no other loaded one stands, over the stays' route arcs."""
     stays = em.stays(spark, sf_dir)
-    return selection.source_congestion(_on(spark, sf_dir), cut(em.nodes(spark, sf_dir)), dependency.route_arcs(stays), em.edges(spark, sf_dir), 90)
+    return selection.source_congestion(_on(spark, sf_dir), cut(em.nodes(spark, sf_dir)), dependency.route_arcs(stays), em.edges(spark, sf_dir), 90, by_rounds=True)
 
 
 @query(f"""with {em.NODES_SQL}{_LOADS} select run_id, edge_id, time from r join th using (run_id) where ratio >= theta""")
