@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wayflow import session
 from wayflow.functions import scalar
 from wayflow.model import TRAJECTORY, AlgorithmOptions
 from wayflow.operators import baselines, dependency, selection
@@ -164,3 +165,27 @@ def test_sources_by_walk_and_by_rounds(spark):
     for by_rounds in (True, False, None):
         got = selection.source_congestion(visits, nodes, arcs, edges, 30, by_rounds).collect()
         assert sorted(r.trip_id for r in got) == [1, 4]
+
+
+def test_cut_tables_do_not_multiply_sizes(spark):
+    """The planner's size of a table that was cut from cut tables stays a plain number, and the rows stay what they were."""
+    now = spark.range(20).select("id", (F.col("id") % 20).alias("a"))
+    for _ in range(8):
+        now = session.cut(now.join(now.select(F.col("a").alias("b"), F.col("id").alias("c")), F.col("id") == F.col("b")).select(F.col("c").alias("id"), "a"))
+    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+    assert now.schema.simpleString() == "struct<id:bigint,a:bigint>" and sorted(map(tuple, now.collect())) == [(i, i) for i in range(20)]
+    assert now.join(now, "id").count() == 20
+
+
+def test_cut_sizes_within_reach_are_kept(spark):
+    cut = session.cut(spark.range(20))
+    assert cut._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() == 160
+
+
+def test_loop_without_facts_has_the_same_totals(spark, tmp_path):
+    write_tables(spark, tmp_path)
+    em = reference.em
+    edges, trips = em.edges(spark, str(tmp_path), em.CAP), em.trips(spark, str(tmp_path))
+    done = [reference.loops.run_named("score_pruned", edges, trips, AlgorithmOptions(max_iterations=1), facts=f) for f in (True, False)]
+    a, b = ({tuple(x) for x in d.by_iteration().collect()} for d in done)
+    assert a == b and len(done[0].steps) == 1 and not done[1].steps
