@@ -189,3 +189,37 @@ def test_loop_without_facts_has_the_same_totals(spark, tmp_path):
     done = [reference.loops.run_named("score_pruned", edges, trips, AlgorithmOptions(max_iterations=1), facts=f) for f in (True, False)]
     a, b = ({tuple(x) for x in d.by_iteration().collect()} for d in done)
     assert a == b and len(done[0].steps) == 1 and not done[1].steps
+
+
+@pytest.mark.parametrize("most", [2_000_000, 1])
+def test_component_sizes_label_only_trips_that_meet(spark, tmp_path, monkeypatch, most):
+    r = random.Random(5)
+    rows = [(i, f"X-{r.randint(0, 1)}", r.randint(0, 39), r.randint(0, 29), 1) for i in range(600)] + [(3, "X-0", 5, 5, 1), (3, "X-0", 5, 5, 1), (4, "X-0", 99, 5, 1), (None, "X-0", 6, 7, 1), (None, "X-0", 30, 8, 1)]
+    spark.createDataFrame([(e, 1, 2, 10, 80) for e in range(40)] * 2, "edge_id int, from_node int, to_node int, free_flow_time bigint, capacity int").write.parquet(f"{tmp_path}/road_edges.parquet")
+    spark.createDataFrame(rows, "id bigint, dataset string, edge_id int, time_sec bigint, flow int").write.parquet(f"{tmp_path}/tdg_nodes.parquet")
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    trips, nodes = {}, set()
+    for i, d, e, t, _ in rows:
+        if e < 40:
+            trips.setdefault((d, None if i is None else i // 10), []).append((d, e, t))
+            nodes.add((d, e, t))
+    for own in trips.values():
+        for x in own:
+            root[find(x)] = find(own[0])
+    size = {}
+    for x in nodes:
+        size[find(x)] = size.get(find(x), 0) + 1
+    want = {d: (sum(k for x, k in size.items() if x[0] == d), sum(k * k for x, k in size.items() if x[0] == d)) for d in ("X-0", "X-1")}
+    asked, labels = [], dependency.labels
+    monkeypatch.setattr(dependency, "labels", lambda n, a: asked.append(n.count()) or labels(n, a))
+    monkeypatch.setattr(dependency, "RUN_NODES", most)
+    got = {f"X-{x.run_id}": (x.nodes, x.pairs) for x in reference.t_component_sizes(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert asked[0] <= len(trips) < len(nodes)
