@@ -223,3 +223,12 @@ def test_component_sizes_label_only_trips_that_meet(spark, tmp_path, monkeypatch
     got = {f"X-{x.run_id}": (x.nodes, x.pairs) for x in reference.t_component_sizes(spark, str(tmp_path)).collect()}
     assert got == want
     assert asked[0] <= len(trips) < len(nodes)
+
+
+@pytest.mark.parametrize("name", ["compressed", "gro"])
+def test_routes_of_a_loop_keep_a_plain_size(spark, tmp_path, name):
+    write_tables(spark, tmp_path)
+    em = reference.em
+    done = reference.loops.run_named(name, em.edges(spark, str(tmp_path), em.CAP), em.trips(spark, str(tmp_path)), AlgorithmOptions(max_iterations=1), facts=False)
+    sizes = [t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() for t in (done.final, *done.totals)]
+    assert len(sizes) == 3 and max(sizes) < 2**64
