@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wayflow import session
 from wayflow.functions import scalar
-from wayflow.model import TRAJECTORY, AlgorithmOptions
-from wayflow.operators import baselines, dependency, selection
+from wayflow.model import TRAJECTORY, AlgorithmOptions, TrafficOptions
+from wayflow.operators import baselines, dependency, selection, traffic
 from wayflow.operators.live import Live
 from wayflow.plans import reference
 
@@ -232,3 +232,41 @@ def test_routes_of_a_loop_keep_a_plain_size(spark, tmp_path, name):
     done = reference.loops.run_named(name, em.edges(spark, str(tmp_path), em.CAP), em.trips(spark, str(tmp_path)), AlgorithmOptions(max_iterations=1), facts=False)
     sizes = [t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() for t in (done.final, *done.totals)]
     assert len(sizes) == 3 and max(sizes) < 2**64
+
+
+def jobs_of(spark, group, f):
+    """What f returns, and how many jobs it started."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+
+
+@pytest.mark.parametrize("compressed, release_last", [(True, False), (False, True)])
+def test_graph_in_one_task_equals_that_by_joins(spark, tmp_path, monkeypatch, compressed, release_last):
+    write_tables(spark, tmp_path)
+    em, loops, key = reference.em, reference.loops, dependency.KEY
+    roads, options = TrafficOptions(release_last_edge=release_last), AlgorithmOptions(anchor_window=90, delta_compress=100)
+    edges, trips = session.cut(em.edges(spark, str(tmp_path), em.CAP)), em.trips(spark, str(tmp_path))
+    now = session.cut(traffic.simulate(loops.initial_routes(edges, trips), edges, roads))
+    one, few = jobs_of(spark, f"one {compressed}", lambda: loops.graph_of(now, edges, options, roads, compressed))
+    monkeypatch.setattr(dependency, "RUN_STAYS", 0)
+    many, most = jobs_of(spark, f"many {compressed}", lambda: loops.graph_of(now, edges, options, roads, compressed))
+    assert one.told is not None and many.told is None and few <= 10 < most
+    rows = lambda t, columns: sorted(tuple(x) for x in t.select(*columns).collect())
+    for name in ("profile", "anchors", "nodes", "arcs", "visits", "impacts", "normal", "relief"):
+        a, b = getattr(one, name), getattr(many, name)
+        assert a.dtypes == b.dtypes and rows(a, b.columns) == rows(b, b.columns), name
+        assert not b.isEmpty(), name
+    assert rows(one.told.where("ratio >= theta"), key) == rows(dependency.loaded(many.nodes, edges, options.theta_percentile), key)
+    priced = dependency.penalties(many.impacts, many.nodes, edges, options, many.normal)
+    assert rows(dependency.told_penalties(one.told, options), priced.columns) == rows(priced, priced.columns)
+    by = [selection.source_congestion(many.visits, many.nodes, many.arcs, edges, options.theta_percentile), one.visits.join(one.told.where("source").select(*key), key, "left_semi").select("run_id", "trip_id").distinct()]
+    assert rows(by[0], by[0].columns) == rows(by[1], by[0].columns)
+
+
+def test_graph_of_no_stays(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 0, 1, 10, 1)], EDGES)
+    g = reference.loops.graph_of(spark.createDataFrame([], TRAJECTORY), edges, AlgorithmOptions(), TrafficOptions(), True)
+    assert g.nodes.isEmpty() and g.arcs.isEmpty() and g.relief.isEmpty() and g.visits.isEmpty()
