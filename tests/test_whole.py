@@ -270,3 +270,20 @@ def test_graph_of_no_stays(spark, tmp_path):
     edges = spark.createDataFrame([(0, 0, 1, 10, 1)], EDGES)
     g = reference.loops.graph_of(spark.createDataFrame([], TRAJECTORY), edges, AlgorithmOptions(), TrafficOptions(), True)
     assert g.nodes.isEmpty() and g.arcs.isEmpty() and g.relief.isEmpty() and g.visits.isEmpty()
+
+
+def test_gro_in_few_jobs_keeps_totals_and_routes(spark, tmp_path, monkeypatch):
+    write_tables(spark, tmp_path)
+    em, loops = reference.em, reference.loops
+    edges, trips = session.cut(em.edges(spark, str(tmp_path), em.CAP)), session.cut(em.trips(spark, str(tmp_path)))
+    told = []
+    monkeypatch.setattr(selection, "batches", lambda *a, f=selection.batches: told.append(a[6]) or f(*a))
+    run = lambda: loops.run_named("gro", edges, trips, AlgorithmOptions(max_iterations=2), facts=False)
+    one, few = jobs_of(spark, "gro in tasks", run)
+    monkeypatch.setattr(dependency, "RUN_STAYS", 0)
+    many, most = jobs_of(spark, "gro by joins", run)
+    assert len(told) == 4 and all(h is not None for h in told[:2]) and told[2:] == [None, None]
+    assert 2 * few < most
+    rows = lambda t: sorted(tuple(x) for x in t.select(*sorted(t.columns)).collect())
+    assert rows(one.by_iteration()) == rows(many.by_iteration())
+    assert rows(one.final) == rows(many.final) and rows(one.final) != rows(one.initial)
