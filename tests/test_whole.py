@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayflow import session
 from wayflow.functions import scalar
 from wayflow.model import TRAJECTORY, AlgorithmOptions, TrafficOptions
-from wayflow.operators import baselines, dependency, selection, traffic
+from wayflow.operators import baselines, dependency, paths, selection, traffic
 from wayflow.operators.live import Live
 from wayflow.plans import reference
 
@@ -287,3 +287,19 @@ def test_gro_in_few_jobs_keeps_totals_and_routes(spark, tmp_path, monkeypatch):
     rows = lambda t: sorted(tuple(x) for x in t.select(*sorted(t.columns)).collect())
     assert rows(one.by_iteration()) == rows(many.by_iteration())
     assert rows(one.final) == rows(many.final) and rows(one.final) != rows(one.initial)
+
+
+def test_searches_of_initial_routes_are_spread(spark, monkeypatch):
+    def told(net, key):
+        def run(batches):
+            from pyspark import TaskContext
+
+            for b in batches:
+                yield b.assign(edges=[[TaskContext.get().partitionId()]] * len(b), tt=0)[["origin", "destination", "edges", "tt"]]
+
+        return run
+
+    monkeypatch.setattr(paths, "_routes", told)
+    edges = spark.createDataFrame([(0, 0, 1, 10, 1)], EDGES)
+    trips = spark.createDataFrame([(0, t, t, 1, 0) for t in range(40)], "run_id bigint, trip_id int, origin int, destination int, depart bigint")
+    assert len({r.edges[0] for r in paths.shortest_routes(edges, trips).collect()}) == 4
